@@ -1,0 +1,30 @@
+"""Session helpers shared by all operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; a Spark-written directory and a single file read alike."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and return it with its lineage cut.
+
+    The folder is the one ``spark.checkpoint.dir`` names.  Only where that is unset, as in
+    local tests, a temporary folder is used.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paraloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Partitions for ``rows`` at ``per_task`` rows each, at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import canonical_copies, mixture, site_lines, tokens
+from paraloom.llm import canonical_copies, languages, mixture, site_lines, tokens
 from paraloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,17 @@ def p1_cleaned(spark, sf):
     return site_lines.cleaned(table(spark, sf, "cc_token")).select("row_id", "text", "n_dropped")
 
 
+@query()
+def p4_found(spark, sf):
+    cases = languages.identify(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample"), only_cases=True)
+    return cases.select("row_id", F.explode("languages.language").alias("language"))
+
+
+@query()
+def p4_segments(spark, sf):
+    return languages.identify(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample")).select("row_id", F.explode("segments").alias("s")).select("row_id", "s.*")
+
+
 @query()
 def p5_found(spark, sf):
     return canonical_copies.copies(table(spark, sf, "cc_token"))

@@ -282,14 +282,19 @@ def host_priors(web: DataFrame, strength: float = 10.0) -> DataFrame:
     ])
 
 
+def agreeing_rows(web: DataFrame, most_rows: int) -> list[tuple[str, str]]:
+    """(label, text) of at most ``most_rows`` rows whose label is what their address names: a bounded training sample."""
+    label = language_code(F.col("language"))
+    rows = web.filter(label.isin(*LANGUAGES) & (label == address_language(F.col("uri"))) & F.col("text").isNotNull())
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("row_id"), "row_id").limit(most_rows).select(label, "text").collect()]
+
+
 def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_samples: int = 20_000, most_rows: int = 4_000, most_broadcast: int = 500_000) -> DataFrame:
     """``(row_id, languages, label_fits, segments)`` of each row; with ``only_cases`` those whose label doesn't fit, without segments."""
     labelled = samples.filter("text IS NOT NULL AND language IS NOT NULL").orderBy("sample_id").limit(most_samples)
     words = count_words([(r.language, r.text) for r in labelled.select("language", "text").collect()])
     label, address = language_code(F.col("language")), address_language(F.col("uri"))
-    agreeing = web.filter(label.isin(*LANGUAGES) & (label == address) & F.col("text").isNotNull())
-    agreeing = agreeing.orderBy(F.xxhash64("row_id"), "row_id").limit(most_rows)
-    words = refine(words, [tuple(r) for r in agreeing.select(label, "text").collect()])
+    words = refine(words, agreeing_rows(web, most_rows))
     hosts = cut(host_priors(web))
     hosts = F.broadcast(hosts) if hosts.count() <= most_broadcast else hosts
     rows = web.filter("text IS NOT NULL").join(hosts, F.lower("domain") == F.col("host"), "left").select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import canonical_copies, languages, mixture, site_lines, tokens
+from paraloom.llm import canonical_copies, encodings, languages, mixture, site_lines, tokens
 from paraloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,16 @@ def p5_collapsed(spark, sf):
     return canonical_copies.collapsed(table(spark, sf, "cc_token"))
 
 
+@query()
+def p7_found(spark, sf):
+    return encodings.garbled(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample")).select("row_id")
+
+
+@query()
+def p7_restored(spark, sf):
+    return encodings.garbled(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample"))
+
+
 @query()
 def p8_ids(spark, sf):
     return tokens.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")

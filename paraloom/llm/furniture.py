@@ -1,0 +1,132 @@
+"""Markers of page furniture in five languages, for telling repeated furniture from repeated prose."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+from re import _parser
+
+import ahocorasick
+
+#: Wording that marks a line as furniture, by kind; matched in lower case with single spaces.
+MARKERS = {
+    "cookie notice": [
+        r"\b(uses?|stores?|verwende[nt]|nutzen|nutzt|speichern|setzen|utilise[nz]?|utilisons|enregistrons|používá|používa|používáme|používame|ukládáme|ukladáme|ukladám)( \w+){0,4} cookies?\b",
+        r"\bcookies?\b.*\| ?(got it|ok|rozumím|rozumiem|verstanden|compris|j'ai compris)\b",
+        r"\bcookies? (on your device|auf ihrem gerät|sur votre appareil)\b",
+    ],
+    "legal notice": [
+        r"^(\(c\)|©|copyright\b)", r"\ball rights reserved\b", r"\balle rechte vorbehalten\b", r"\btous droits réservés\b", r"\bvšechna práva vyhrazena\b", r"\bvšetky práva vyhradené\b",
+        r"\bwithout (the )?(prior )?written (permission|consent)\b", r"\bbez (předchozího )?písemného souhlasu\b", r"\bbez (predchádzajúceho )?písomného súhlasu\b",
+        r"\bohne (vorherige )?schriftliche (genehmigung|zustimmung|erlaubnis)\b", r"\bsans (autorisation|accord|l'accord|permission) (préalable )?(écrite?|par écrit)\b",
+        r"\bnot responsible for the content\b", r"\bneodpovídá za obsah\b", r"\bnezodpovedá za obsah\b", r"\bist nicht verantwortlich\b|\b(haftet|verantwortet) nicht für\b|\bnicht für (den|die) inhalte?\b|\bkeine haftung\b", r"\b(n'est pas|pas) responsable du contenu\b|\bdécline toute responsabilité\b|\bne répond pas du contenu\b",
+    ],
+    "share prompt": [
+        r"^share (this|on|with)\b", r"^sdílejte\b|^sdílet\b", r"^zdieľajte\b|^zdieľať\b", r"\bteilen ?\(\d+\)$|^teilen sie\b", r"^partagez\b|^partager\b",
+        r"^like .{1,60}\? tell others", r"^líbí se vám .{1,60}\? řekněte", r"^páči sa vám .{1,60}\? povedzte", r"^gefällt ihnen .{1,60}\? (sagen|erzählen)", r"^vous aimez .{1,60} ?\? (dites|parlez)",
+        r"\b\d+× (sdíleno|zdieľané)\b|\bshared \d+ times$",
+        r"^(e-?mail this|poslat článek e|poslať článok e|beitrag per e|envoyer cet article|envoyer par)", r"\| (print|vytisknout|vytlačiť|drucken|imprimer)\b",
+    ],
+    "newsletter prompt": [
+        r"^want news from\b", r"\benter your e-?mail\b", r"\bzadejte svůj e-?mail\b", r"\bzadajte svoj e-?mail\b", r"\bgeben sie (bitte )?ihre e-?mail", r"\b(entrez|saisissez|indiquez) votre (adresse|e-?mail|courriel)",
+        r"\b(subscribe|přihlásit|prihlásiť|anmelden|abonnieren|s'abonner) ?/ ?(unsubscribe|odhlásit|odhlásiť|abmelden|abbestellen|se désabonner)\b", r"^(odběr novinek|odber noviniek)\b",
+        r"^(den )?(rundbrief|newsletter) von .{1,60} abonnieren$", r"^recevez les nouvelles\b", r"^chcete dostávať?\b",
+    ],
+    "byline": [
+        r"^by .{1,60} (staff|correspondent|reporter)\b", r"^(autor|author|autorka|verfasser|auteur) ?:", r"^(words and pictures|text a foto|text und (bild|foto)|texte et photos?) ?:",
+        r"^von .{1,60}, (redaktion|korrespondent)\b", r"^par .{1,60}, (la )?rédaction\b", r"\b(redakce|redakcia|rédaction de|redaktion) .{1,60}, \d", r"\b(updated at|aktualizováno v|aktualizované o|aktualizované v|aktualisiert um|mis à jour à) \d",
+    ],
+    "picture credit": [r"^(photo|foto|bild|fotografie|picture) ?:", r"\b(enlarge|zvětšit obrázek|zväčšiť obrázok|vergrößern|agrandir)\.?$"],
+    "page numbers": [r"^(page|strana|seite) \d+ (of|z|zo|ze|von|sur|de) \d+", r"^« ?(previous|předchozí|predchádzajúca|predchádzajúce|predošlá|zurück|vorherige|précédent)", r"(next|další|ďalšia|ďalšie|weiter|nächste|suivant) ?»"],
+    "comments": [r"^(comments?|komentáře|komentáre|komentare|kommentare|commentaires?) ?\(\d+\)"],
+    "tags": [r"^(tags|štítky|značky|klíčová slova|kľúčové slová|schlagwörter|schlagworte|stichwörter|stichworte|mots-clés|étiquettes) ?:"],
+    "breadcrumbs": [r"^(you are here|jste zde|nachádzate sa tu|ste tu|sie sind hier|vous êtes ici) ?:"],
+    "links to other pages": [
+        r"^(related links|related articles|související odkazy|související články|súvisiace odkazy|weiterführende links|verwandte links|ähnliche|liens associés|liens connexes|voir aussi|à voir)\b.{0,3}[–:-]",
+        r"^(read also|see also|čtěte také|čítajte tiež|čítajte aj|lesen sie auch|lire aussi|lisez aussi|à lire aussi|à lire) ?:", r"^(most read|nejčtenější|najčítanejšie|am meisten gelesen|meistgelesen|les plus lus|le plus lu) ?:",
+        r"^(where next|kam dál|kam ďalej|wohin jetzt|wie weiter|où aller ensuite|et ensuite) ?\?", r"»$",
+    ],
+    "site map": [r"\b(site map|sitemap|mapa stránek|mapa stránok|plan du site)\b", r"^(kontakt|kontakte|kontakty|contacts?) .*(datenschutz|ochrana údaj|privacy|confidentialité)"],
+    "address": [r"\b(ltd|s\.? ?r\. ?o\.|a\. ?s\.|gmbh|sarl|inc\.?),? .*\b(phone|tel|tél|telefon|téléphone)\.? ?\d"],
+}
+PARTS = re.compile(r" ?[|»>•] ?| / ")
+GAPS = re.compile(r"[ \xa0]{2,}|\t")
+HIDDEN = str.maketrans("", "", "­​﻿")
+END = re.compile(r"[.?!…][\"”“»«')\]]*$")
+BULLET = re.compile(r"^[•*–—-] ")
+
+
+def _needed(parsed) -> set[str]:
+    """Literals one of which every match of the pattern contains; empty if there is none."""
+    best, run = set(), ""
+
+    def offer(found: set[str]) -> None:
+        nonlocal best
+        if found and min(map(len, found)) > (min(map(len, best)) if best else 0):
+            best = found
+
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+            continue
+        offer({run} if run else set())
+        run = ""
+        if name == "SUBPATTERN":
+            offer(_needed(arg[3]))
+        elif name == "BRANCH":
+            each = [_needed(x) for x in arg[1]]
+            offer(set().union(*each) if all(each) else set())
+        elif name == "MAX_REPEAT" and arg[0] >= 1:
+            offer(_needed(arg[2]))
+    offer({run} if run else set())
+    return best
+
+
+@lru_cache(1)
+def _triggers() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
+    """An automaton of the patterns' needed literals, each with the patterns to try, and those without."""
+    by, always = {}, []
+    for pattern in (x for xs in MARKERS.values() for x in xs):
+        compiled = re.compile(pattern)
+        needed = _needed(_parser.parse(pattern))
+        for lit in needed:
+            by.setdefault(lit, []).append(compiled)
+        if not needed:
+            always.append(compiled)
+    automaton = ahocorasick.Automaton()
+    for lit, patterns in by.items():
+        automaton.add_word(lit, patterns)
+    automaton.make_automaton()
+    return automaton, always
+
+
+def squeeze(line: str) -> str:
+    return " ".join((line if line.isascii() else line.translate(HIDDEN)).split()).lower()
+
+
+def menu(line: str, low: str) -> bool:
+    """Three or more short parts between separators or wide gaps, none of them a sentence or a ``name: value`` field."""
+    if BULLET.match(low):
+        return False
+    parts = [p for p in PARTS.split(low) if p.strip()]
+    if len(parts) < 3:
+        # where all spaces of a line are doubled a gap separates nothing
+        parts = GAPS.split(line.strip())
+        if len(parts) < 3 or len(parts) > 3 and len(parts) == len(low.split()) and len(parts) > 6:
+            return False
+    return all(len(p.split()) <= 4 and not END.search(p.strip()) for p in parts) and sum(":" in p for p in parts) < 2
+
+
+def is_furniture(line: str) -> bool:
+    """Whether a line's wording or form marks it as page furniture."""
+    low = squeeze(line)
+    automaton, always = _triggers()
+    tried = set()
+    for _, patterns in automaton.iter(low):
+        for p in patterns:
+            if id(p) not in tried:
+                if p.search(low):
+                    return True
+                tried.add(id(p))
+    return any(p.search(low) for p in always) or menu(line, low)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import canonical_copies, encodings, languages, mixture, site_lines, tokens
+from paraloom.llm import canonical_copies, encodings, languages, main_body, mixture, site_lines, tokens
 from paraloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,16 @@ def p1_cleaned(spark, sf):
     return site_lines.cleaned(table(spark, sf, "cc_token")).select("row_id", "text", "n_dropped")
 
 
+@query()
+def p2_found(spark, sf):
+    return main_body.furniture(table(spark, sf, "cc_token"))
+
+
+@query()
+def p2_main_body(spark, sf):
+    return main_body.main_body(table(spark, sf, "cc_token")).select("row_id", "text")
+
+
 @query()
 def p4_found(spark, sf):
     cases = languages.identify(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample"), only_cases=True)

@@ -76,7 +76,7 @@ def left_of(unit: str, at: int) -> str:
     if ROMAN.match(tail):
         return "roman"
     if len(w) > 7 or len(w) > 5 and w[0].isupper():
-        return "long"
+        return "long~" + w[-3:].lower()
     return w.lower()
 
 
@@ -208,8 +208,10 @@ class Chain:
         self.kind = [Counter(), Counter()]
         self.prior = [1.0, 1.0]
 
-    def add(self, p: Place, tag: int, weight: float, starters: set[str]) -> None:
-        self.left[tag][p.left] += weight
+    def add(self, p: Place, tag: int, weight: float, starters: set[str], only_right: bool = False) -> None:
+        """``only_right``: what ends a sentence is learned from unit ends alone, so that an abbreviation never seen there stays inside."""
+        if not only_right:
+            self.left[tag][p.left] += weight
         self.right[tag][p.right if p.right in starters else "~" + p.kind] += weight
         self.kind[tag][p.kind] += weight
         self.prior[tag] += weight
@@ -235,7 +237,7 @@ class Model:
         right = p.right if p.right in self.starters else "~" + p.kind
         left = self.left.get(p.left)
         if left is None:
-            left = self.left.get("long" + p.left[-1:], 0.0) if p.kind != "thai" else 0.0
+            left = 0.0
         return self.prior + left + self.right.get(right, 0.0)
 
     def tag(self, places: list[Place], near: float = -2.0) -> list[int]:
@@ -298,7 +300,7 @@ def train(texts: list[str], rounds: int = 6) -> tuple[Model, Model]:
             for p, tag in known[at]:
                 chain.add(p, tag, 1.0, starters)
             for p, g in zip(open_[at], guess, strict=True):
-                chain.add(p, 1, g, starters)
+                chain.add(p, 1, g, starters, only_right=True)
                 chain.add(p, 0, 1 - g, starters)
             model = chain.table(starters)
             guess = [1 / (1 + math.exp(-max(-30, min(30, model.odds(p))))) for p in open_[at]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm import canonical_copies, encodings, languages, main_body, mixture, site_lines, tokens
+from paraloom.llm import bitext, canonical_copies, encodings, languages, main_body, mixture, sentences, site_lines, tokens
 from paraloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,20 @@ def p5_collapsed(spark, sf):
     return canonical_copies.collapsed(table(spark, sf, "cc_token"))
 
 
+def _aligned(spark, sf):
+    return bitext.aligned(table(spark, sf, "cc_token"), table(spark, sf, "doc_align"), table(spark, sf, "corpus_pair"))
+
+
+@query()
+def p6_found(spark, sf):
+    return _aligned(spark, sf).select("row_id_a", "line_a", "row_id_b", "line_b")
+
+
+@query()
+def p6_scored(spark, sf):
+    return _aligned(spark, sf)
+
+
 @query()
 def p7_found(spark, sf):
     return encodings.garbled(table(spark, sf, "cc_token"), table(spark, sf, "lang_sample")).select("row_id")
@@ -109,3 +123,8 @@ def p9_shares(spark, sf):
 @query()
 def p9_mixture(spark, sf):
     return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+
+
+@query()
+def p10_found(spark, sf):
+    return sentences.sentences(table(spark, sf, "documents"))

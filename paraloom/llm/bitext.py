@@ -6,8 +6,10 @@ of training pairs that hold the word and the concept's set.  Each word keeps its
 concepts, so a sentence is a sparse vector of some twenty weights, and numbers and name stems are
 concepts of their own.  Sentences of a document pair meet in a sparse cosine join on
 (document, concept).  A pair of sentences is taken if each is the other's best; where two adjacent
-sentences together match one better than either alone, the merged window is taken.  Lines follow
-from their sentences, so joined, moved, added and left-out lines need no extra care.
+sentences together match one better than either alone, the merged window is taken; a sentence
+that holds more than its partner, as far as names and numbers show, may be the best of several.
+Sentences of one pattern about other things are told apart by the names and numbers they share.
+Lines follow from their sentences, so joined, moved, added and left-out lines need no extra care.
 
 Training is one aggregation over all training pairs.  The concept table is sent to the workers and holds at most ``most_words`` words
 a side, the most frequent; rarer words are represented by themselves.
@@ -32,7 +34,9 @@ from paraloom.session import cut
 
 TOP, LEAST_COSINE, LEAST_COUNT = 3, 0.08, 3
 NAME_WEIGHT, NUMBER_WEIGHT, NAME_STEM = 5.0, 5.0, 5
-ACCEPT, MERGED, MERGE_PART, MERGE_GAIN = 0.5, 0.6, 0.3, 0.08
+ACCEPT, PLAIN_ACCEPT, MERGED, MERGE_PART, MERGE_GAIN = 0.45, 0.75, 0.6, 0.3, 0.08
+#: Of the names and numbers of the sentence with fewer, the share to be found in the other; above WHOLE of the one with more it is no part.
+SHARED, WHOLE = 0.6, 0.75
 CUT = re.compile(r"(?<=[.?!…;])[\"”“»’)]*\s+|\s+[–—|/]\s+|(?<=[a-zà-ž][.?!])(?=[A-ZÀ-Ž])")
 TOKEN = re.compile(r"\d+(?:[ \xa0.,]?\d+)*|[^\W\d_]+")
 #: The word class of the SQL side, the same as in TOKEN.
@@ -103,13 +107,13 @@ def vector(segment: str, words: dict) -> dict[str, float]:
     return out
 
 
-SEGMENT = "doc_id long, seg int, line_no int, norm double, keys array<string>, weights array<double>"
+SEGMENT = "doc_id long, seg int, line_no int, norm double, named int, keys array<string>, weights array<double>"
 
 
 def _segments(words: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, seg, line_no, norms, keys, weights = [], [], [], [], [], []
+            doc, seg, line_no, norms, named, keys, weights = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 n = 0
                 for no, line in enumerate(text.split("\n")):
@@ -124,12 +128,13 @@ def _segments(words: dict):
                         seg.append(n)
                         line_no.append(no)
                         norms.append(norm)
+                        named.append(sum(k[0] in "^0" for k in v))
                         keys.append(list(v))
                         weights.append([w / norm for w in v.values()])
                         n += 1
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(seg, pa.int32()), pa.array(line_no, pa.int32()), pa.array(norms, pa.float64()), pa.array(keys, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))],
-                ["doc_id", "seg", "line_no", "norm", "keys", "weights"],
+                [b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(seg, pa.int32()), pa.array(line_no, pa.int32()), pa.array(norms, pa.float64()), pa.array(named, pa.int32()), pa.array(keys, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))],
+                ["doc_id", "seg", "line_no", "norm", "named", "keys", "weights"],
             )
 
     return run
@@ -151,19 +156,25 @@ def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int
     s = _vectors(web, pairs.select(F.col("src").alias("doc_id")), src_words, most_broadcast)
     t = _vectors(web, pairs.select(F.col("trg").alias("doc_id")), trg_words, most_broadcast)
     each = lambda d, p: d.select(
-        F.col("doc_id").alias("src" if p == "s" else "trg"), F.struct(F.col("seg").alias("seg"), F.col("line_no").alias("line"), F.col("norm").alias("norm")).alias(p),
-        F.explode(F.arrays_zip(F.transform("keys", lambda k: F.xxhash64(k)).alias("k"), F.col("weights").alias("w"))).alias("e"),
+        F.col("doc_id").alias("src" if p == "s" else "trg"), F.struct(F.col("seg").alias("seg"), F.col("line_no").alias("line"), F.col("norm").alias("norm"), F.col("named").alias("named")).alias(p),
+        F.explode(F.arrays_zip(F.transform("keys", lambda k: F.xxhash64(k)).alias("k"), F.col("weights").alias("w"), F.transform("keys", lambda k: k.rlike("^[\\^0]").cast("int")).alias("r"))).alias("e"),
     )
-    sx = each(s, "s").select("src", "s", F.col("e.k").alias("concept"), F.col("e.w").alias("ws"))
+    sx = each(s, "s").select("src", "s", F.col("e.k").alias("concept"), F.col("e.w").alias("ws"), F.col("e.r").alias("named"))
     tx = each(t, "t").select("trg", "t", F.col("e.k").alias("concept"), F.col("e.w").alias("wt"))
     dots = (
         pairs.join(sx, "src").join(tx, ["trg", "concept"])
-        .groupBy("src", "trg", "s", "t").agg(F.sum(F.col("ws") * F.col("wt")).alias("cosine"))
-        .filter(F.col("cosine") >= MERGE_PART)
+        .groupBy("src", "trg", "s", "t").agg(F.sum(F.col("ws") * F.col("wt")).alias("cosine"), F.sum("named").alias("shared"))
+        .filter((F.col("cosine") >= MERGE_PART) & agreeing())
     )
     return expand(dots)
 
 
+def agreeing() -> F.Column:
+    """Whether two sentences are about the same things, by their names and numbers."""
+    fewer = F.least("s.named", "t.named")
+    return F.when(fewer > 0, F.col("shared") >= SHARED * fewer).otherwise(F.col("cosine") >= PLAIN_ACCEPT)
+
+
 def expand(dots: DataFrame) -> DataFrame:
     """Mutual best sentences and merged windows, as lines."""
     far = F.abs(F.col("s.seg") - F.col("t.seg"))
@@ -181,8 +192,9 @@ def expand(dots: DataFrame) -> DataFrame:
         return F.when(good, F.struct(other["line"].alias("line"), joined.alias("score")))
 
     both = ranked.withColumn("more_s", joint("s", next_s)).withColumn("more_t", joint("t", next_t))
+    part = F.col("shared") < WHOLE * F.greatest("s.named", "t.named")
     rows = both.select("src", "trg", F.explode(F.filter(F.array(
-        F.when((F.col("of_s") == 1) & (F.col("of_t") == 1) & (F.col("cosine") >= ACCEPT), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("cosine").alias("score"))),
+        F.when(((F.col("of_s") == 1) & (F.col("of_t") == 1) | part & ((F.col("of_s") == 1) | (F.col("of_t") == 1))) & (F.col("cosine") >= ACCEPT), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("cosine").alias("score"))),
         # the window's first line where its sentence's best is this one, and its second line
         F.when((F.col("of_s") == 1) & F.col("more_s").isNotNull(), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("more_s.score").alias("score"))),
         F.when((F.col("of_s") == 1) & F.col("more_s").isNotNull(), F.struct(F.col("more_s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("more_s.score").alias("score"))),

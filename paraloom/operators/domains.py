@@ -27,7 +27,7 @@ def bilingual_domains(profile: DataFrame, first: str = "en", second: str = "cs",
 def balanced(profile: DataFrame, first: str = "en", second: str = "cs", ratio: float = 0.01) -> DataFrame:
     """Domains whose summed text lengths relate above ``ratio`` both ways; strict, zero and null lengths fail."""
     a, b = F.col(f"text_length_{first}"), F.col(f"text_length_{second}")
-    return profile.filter(F.try_divide(F.least(a, b), F.greatest(a, b)) > ratio)
+    return profile.filter(a.isNotNull() & b.isNotNull() & (F.try_divide(F.least(a, b), F.greatest(a, b)) > ratio))
 
 
 def distinct_texts(web: DataFrame) -> DataFrame:

@@ -64,8 +64,11 @@ def _train(ids: dict[str, int], cum: np.ndarray, w_in: np.ndarray, w_out: np.nda
                 label[:, 0] = 1
                 v, u = a[x], b[ys]
                 grad = (label - 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", v, u), -6, 6)))) * rate
-                np.add.at(b, ys.ravel(), (grad[:, :, None] * v[:, None, :]).reshape(-1, v.shape[1]))
-                np.add.at(a, x, np.einsum("nk,nkd->nd", grad, u))
+                # a batch adds to a frequent word as often as eight occurrences at most would, or it diverges
+                often = lambda k: 8 / np.maximum(8, np.bincount(k.ravel(), minlength=len(a)))[k]
+                step_b, step_a = grad * often(ys), np.einsum("nk,nkd->nd", grad, u) * often(x)[:, None]
+                np.add.at(b, ys.ravel(), (step_b[:, :, None] * v[:, None, :]).reshape(-1, v.shape[1]))
+                np.add.at(a, x, step_a)
                 n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([a.astype(np.float64).tobytes()], pa.binary()), pa.array([b.astype(np.float64).tobytes()], pa.binary())], ["n", "a", "b"])
 

@@ -157,8 +157,7 @@ def web_paragraphs(spark, sf):
 WHERE text_count_en >= 1 AND text_count_cs >= 1 AND least(text_length_en, text_length_cs) / nullif(greatest(text_length_en, text_length_cs), 0) > 0.01
 AND text_length_en IS NOT NULL AND text_length_cs IS NOT NULL""")
 def balance_filter(spark, sf):
-    info = table(spark, sf, "domain_info").filter("text_length_en IS NOT NULL AND text_length_cs IS NOT NULL")
-    return domains.balanced(domains.bilingual_domains(info))
+    return domains.balanced(domains.bilingual_domains(table(spark, sf, "domain_info")))
 
 
 @query("""SELECT lower(domain) AS domain, text, min(uri) AS uri, min(language) AS language FROM cc_token

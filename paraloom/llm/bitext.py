@@ -34,6 +34,8 @@ from paraloom.session import cut
 
 TOP, LEAST_COSINE, LEAST_COUNT = 3, 0.08, 3
 NAME_WEIGHT, NUMBER_WEIGHT, NAME_STEM = 5.0, 5.0, 5
+#: A capitalised word below this weight, too common for a name, begins a sentence that was joined to the one before by a conjunction.
+COMMON, LEAST_WORDS = 5.0, 4
 ACCEPT, PLAIN_ACCEPT, MERGED, MERGE_PART, MERGE_GAIN = 0.45, 0.75, 0.6, 0.3, 0.08
 #: Of the names and numbers of the sentence with fewer, the share to be found in the other; above WHOLE of the one with more it is no part.
 SHARED, WHOLE = 0.6, 0.75
@@ -107,6 +109,21 @@ def vector(segment: str, words: dict) -> dict[str, float]:
     return out
 
 
+def parts_of(line: str, words: dict) -> Iterator[str]:
+    """The sentences of a line: at marks and dashes, and where a common word has a capital after a lower-case word."""
+    for part in CUT.split(line):
+        begin = at = 0
+        for n, m in enumerate(TOKEN.finditer(part or "")):
+            w = m[0]
+            if n - at >= LEAST_WORDS and w[0].isupper() and (w[1:].islower() or len(w) == 1) and m.start() > 1 and part[m.start() - 1] == " " and part[m.start() - 2].islower():
+                known = words.get(w.lower())
+                if known and max(x for _, x in known) < COMMON:
+                    yield part[begin : m.start()]
+                    begin, at = m.start(), n
+        if part:
+            yield part[begin:]
+
+
 SEGMENT = "doc_id long, seg int, line_no int, norm double, named int, keys array<string>, weights array<double>"
 
 
@@ -119,8 +136,8 @@ def _segments(words: dict):
                 for no, line in enumerate(text.split("\n")):
                     if not line.strip() or is_furniture(line):
                         continue
-                    for part in CUT.split(line):
-                        v = vector(part, words) if part else {}
+                    for part in parts_of(line, words):
+                        v = vector(part, words)
                         if len(v) < 2:
                             continue
                         norm = math.sqrt(sum(w * w for w in v.values()))

@@ -44,7 +44,7 @@ MARKERS = {
     "links to other pages": [
         r"^(related links|related articles|související odkazy|související články|súvisiace odkazy|weiterführende links|verwandte links|ähnliche|liens associés|liens connexes|voir aussi|à voir)\b.{0,3}[–:-]",
         r"^(read also|see also|čtěte také|čítajte tiež|čítajte aj|lesen sie auch|lire aussi|lisez aussi|à lire aussi|à lire) ?:", r"^(most read|nejčtenější|najčítanejšie|am meisten gelesen|meistgelesen|les plus lus|le plus lu) ?:",
-        r"^(where next|kam dál|kam ďalej|wohin jetzt|wie weiter|où aller ensuite|et ensuite) ?\?", r"»$",
+        r"^(where next|kam dál|kam ďalej|wohin jetzt|wie weiter|où aller ensuite|et ensuite) ?\?", r"^[^«]*[^\s.?!…«] ?»$",
     ],
     "site map": [r"\b(site map|sitemap|mapa stránek|mapa stránok|plan du site)\b", r"^(kontakt|kontakte|kontakty|contacts?) .*(datenschutz|ochrana údaj|privacy|confidentialité)"],
     "address": [r"\b(ltd|s\.? ?r\. ?o\.|a\. ?s\.|gmbh|sarl|inc\.?),? .*\b(phone|tel|tél|telefon|téléphone)\.? ?\d"],

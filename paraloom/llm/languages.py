@@ -18,14 +18,15 @@ that by ``OTHER_MARGIN``; other units join the language of the document.
 
 Cases: texts without words (null, empty, numbers only) get no language; labels are compared
 without letter case and region suffix; names and single foreign words cannot outweigh a sentence
-because a word's contribution is clipped; characters broken by wrong decoding are unknown to all
-languages alike.  Ties between languages go to the declared one, then to the order of LANGUAGES.
+because a word's contribution is clipped; words broken by wrong decoding say nothing, and the
+models know words without their accents, too.  Ties between languages go to the declared one, then to the order of LANGUAGES.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -41,7 +42,9 @@ LANGUAGES = ("en", "cs", "de", "sk", "fr")
 MIN_WORDS, MARGIN, OTHER_MARGIN = 4, 4.0, 12.0
 CLIP, NAME_WEIGHT = 5.0, 0.2
 DECLARED, ADDRESS = 3.0, 2.0
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that wrong decoding leaves in words; the letters beside them are fragments and say nothing.
+BROKEN = "\u0080-\u009f¡-¦¨©¬-¯±-´¶¸-º¼-¾ƒˆ-˝‚†‡‰√∂≈∞≤≥⌐─-▟�"
+WORD = re.compile(rf"(?<![^\W\d_])(?<![{BROKEN}])[^\W\d_]++(?![{BROKEN}])")
 BREAK = re.compile(r"(?<=[.?!…])[\"”“»«'’)\]]*\s+|\n+|\s+[/|–—•»>]\s+|(?<=[a-zà-ž][.?!])(?=[A-ZÀ-Ž])|;\s+")
 CACHE = 300_000
 
@@ -161,20 +164,29 @@ def count_words(samples: list[tuple[str, str]]) -> list[Counter]:
     return words
 
 
+def without_accents(words: Counter, share: float = 0.1) -> Counter:
+    """The words with their forms without accents added at ``share`` of their counts."""
+    plain: Counter = Counter()
+    for w, n in words.items():
+        if (p := "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))) != w:
+            plain[p] += math.ceil(share * n)
+    return words + plain
+
+
 def refine(words: list[Counter], rows: list[tuple[str, str]], trust: float = 10.0, least: int = 3) -> list[Counter]:
     """The words with those of the rows' sentences added, each sentence under its likeliest language.
 
-    The row's label counts ``trust`` nats; sentences below ``MIN_WORDS`` words are left out, and
-    so are words of fewer than ``least`` occurrences, mostly names.
+    The row's label counts ``trust`` nats; single words are left out, and so are words of fewer
+    than ``least`` occurrences, mostly names.
     """
     scorer, more = Scorer(words), [Counter() for _ in LANGUAGES]
     units = [(label, text[s:e]) for label, text in rows for s, e in units_of(text)]
     score, n = scorer([u for _, u in units])
     score += trust * np.array([[x == label for x in LANGUAGES] for label, _ in units], float).reshape(-1, len(LANGUAGES))
     for (_, u), at, k in zip(units, score.argmax(axis=1).tolist(), n.tolist(), strict=True):
-        if k >= MIN_WORDS:
+        if k >= 2:
             more[at].update(w.lower() for w in WORD.findall(u))
-    return [a + Counter({w: c for w, c in b.items() if c >= least}) for a, b in zip(words, more, strict=True)]
+    return [without_accents(a + Counter({w: c for w, c in b.items() if c >= least})) for a, b in zip(words, more, strict=True)]
 
 
 def _identify(words: list[dict[str, int]], only_cases: bool):
@@ -230,7 +242,10 @@ def _batch(b: pa.RecordBatch, scorer: Scorer, only_cases: bool) -> pa.RecordBatc
         for k in np.flatnonzero(sure[lo:hi]) + lo:
             found[int(best[k])] = max(found.get(int(best[k]), 0.0), float(posterior[k, best[k]]))
         if not found:
-            found = {int(doc_best[i]): float(doc_p[i, doc_best[i]])}
+            at = int(doc_best[i])
+            if label is not None and doc[i, at] - doc[i, LANGUAGES.index(label)] < OTHER_MARGIN:
+                at = LANGUAGES.index(label)  # without a sentence the label holds unless the words speak clearly
+            found = {at: float(doc_p[i, at])}
         fits = len(found) == 1 and LANGUAGES[next(iter(found))] == label
         if only_cases and fits:
             continue
@@ -289,7 +304,7 @@ def agreeing_rows(web: DataFrame, most_rows: int) -> list[tuple[str, str]]:
     return [tuple(r) for r in rows.orderBy(F.xxhash64("row_id"), "row_id").limit(most_rows).select(label, "text").collect()]
 
 
-def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_samples: int = 20_000, most_rows: int = 4_000, most_broadcast: int = 500_000) -> DataFrame:
+def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_samples: int = 20_000, most_rows: int = 10_000, most_broadcast: int = 500_000) -> DataFrame:
     """``(row_id, languages, label_fits, segments)`` of each row; with ``only_cases`` those whose label doesn't fit, without segments."""
     labelled = samples.filter("text IS NOT NULL AND language IS NOT NULL").orderBy("sample_id").limit(most_samples)
     words = count_words([(r.language, r.text) for r in labelled.select("language", "text").collect()])

@@ -246,6 +246,8 @@ def _batch(b: pa.RecordBatch, scorer: Scorer, only_cases: bool) -> pa.RecordBatc
             if label is not None and doc[i, at] - doc[i, LANGUAGES.index(label)] < OTHER_MARGIN:
                 at = LANGUAGES.index(label)  # without a sentence the label holds unless the words speak clearly
             found = {at: float(doc_p[i, at])}
+        elif len(found) == 1 and label is not None and doc[i, (at := next(iter(found)))] - doc[i, LANGUAGES.index(label)] < OTHER_MARGIN:
+            found = {LANGUAGES.index(label): float(doc_p[i, LANGUAGES.index(label)])}  # sure of its sentences, but not against the label
         fits = len(found) == 1 and LANGUAGES[next(iter(found))] == label
         if only_cases and fits:
             continue

@@ -51,7 +51,8 @@ MARKERS = {
 }
 PARTS = re.compile(r" ?[|»>•] ?| / ")
 GAPS = re.compile(r"[ \xa0]{2,}|\t")
-HIDDEN = str.maketrans("", "", "­​﻿")
+MANY = re.compile(r"[|»>•/\t]|[ \xa0]{2}")
+HIDDEN = "­​﻿"
 END = re.compile(r"[.?!…][\"”“»«')\]]*$")
 BULLET = re.compile(r"^[•*–—-] ")
 
@@ -101,13 +102,21 @@ def _triggers() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
     return automaton, always
 
 
+def shown(text: str) -> str:
+    """The text without soft hyphens and zero-width characters."""
+    if not text.isascii():
+        for c in HIDDEN:
+            text = text.replace(c, "")
+    return text
+
+
 def squeeze(line: str) -> str:
-    return " ".join((line if line.isascii() else line.translate(HIDDEN)).split()).lower()
+    return " ".join(shown(line).split()).lower()
 
 
 def menu(line: str, low: str) -> bool:
     """Three or more short parts between separators or wide gaps, none of them a sentence or a ``name: value`` field."""
-    if BULLET.match(low):
+    if BULLET.match(low) or not MANY.search(line):
         return False
     parts = [p for p in PARTS.split(low) if p.strip()]
     if len(parts) < 3:

@@ -154,3 +154,15 @@ def ibm1(pairs: DataFrame, rounds: int = 5, prune: float = 1e-7) -> DataFrame:
         totals = counts.groupBy("src_word").agg(F.sum("c").alias("total"))
         probs = cut(counts.join(totals, "src_word").select("src_word", "trg_word", (F.col("c") / F.col("total")).alias("p")).filter(F.col("p") >= prune))
     return probs
+
+
+def lemmatise(words: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """``words`` with ``lemma``, by a ``(word, lemma)`` dictionary; a word it doesn't have is its own lemma."""
+    unique = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    return words.join(unique, "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
+
+
+def kept_positions(words: Column, keep: Column) -> Column:
+    """For each position its index among the positions kept, null where dropped; ``keep`` is an array of booleans."""
+    upto = lambda i: F.size(F.filter(F.slice(keep, 1, i + 1), lambda k: k)) - 1
+    return F.transform(words, lambda w, i: F.when(F.get(keep, i), upto(i)))

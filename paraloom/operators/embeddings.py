@@ -36,6 +36,11 @@ def keep_probability(count, total, sample: float):
     return (F.sqrt(count / sn) + 1) * sn / count
 
 
+def value_range(vectors: DataFrame, column: str) -> DataFrame:
+    """``(least, most, mean)`` over all values of all vectors."""
+    return vectors.select(F.explode(column).alias("x")).select(F.col("x").cast("double").alias("x")).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+
+
 def training_pairs(corpus: DataFrame, window: int = 5) -> DataFrame:
     """``(word, context)`` tagged ``s:`` and ``t:``, of both languages and across the uniform alignment."""
     tag = lambda side, name: F.transform(T.tokens(F.col(side)), lambda w: F.concat(F.lit(f"{name}:"), w))

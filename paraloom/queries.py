@@ -603,3 +603,73 @@ def vectors_bilingual(spark, sf):
 @query()
 def extracted_web(spark, sf):
     return pipelines.extract(table(spark, sf, "warc_record"), table(spark, sf, "lang_sample"), pipelines.Extraction(text_length=60, confidence=0.9))
+
+
+@query(f"""WITH v AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({TRG}) AS word FROM corpus_pair) GROUP BY word), l AS (SELECT left(word, 4) AS stem, min(word) AS lemma FROM v WHERE length(word) > 4 GROUP BY 1)
+SELECT v.word, cnt, coalesce(CASE WHEN length(word) > 4 THEN lemma END, word) AS lemma FROM v LEFT JOIN l ON left(v.word, 4) = stem""")
+def lemmatised_vocabulary(spark, sf):
+    vocab = cut(corpus.vocabulary(F.col("trg_text"), _corpus(spark, sf)))
+    long = vocab.filter(F.length("word") > 4).withColumn("stem", F.substring("word", 1, 4))
+    lemmas = long.join(long.groupBy("stem").agg(F.min("word").alias("lemma")), "stem").select("word", "lemma")
+    return corpus.lemmatise(vocab, lemmas).select("word", "cnt", "lemma")
+
+
+@query(f"""WITH v AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({TRG}) AS word FROM corpus_pair) GROUP BY word), n AS (SELECT 1e-3 * sum(cnt) AS sn FROM v)
+SELECT word, round((sqrt(cnt / sn) + 1) * sn / cnt, 6) AS keep FROM v, n""")
+def subsampling_rates(spark, sf):
+    vocab = corpus.vocabulary(F.col("trg_text"), _corpus(spark, sf))
+    total = vocab.agg(F.sum("cnt").alias("total"))
+    return vocab.join(F.broadcast(total)).select("word", F.round(embeddings.keep_probability(F.col("cnt"), F.col("total"), 1e-3), 6).alias("keep"))
+
+
+@query("SELECT round(min(x), 6) AS least, round(max(x), 6) AS most, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
+def embedding_range(spark, sf):
+    return embeddings.value_range(table(spark, sf, "embeddings"), "embedding").select(*_six("least", "most", "mean"))
+
+
+@query("""WITH b AS (SELECT src_doc_id, max(score) AS s FROM doc_align WHERE score IS NOT NULL GROUP BY src_doc_id)
+SELECT src_doc_id, CASE WHEN s > 0.9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, round(avg(CASE WHEN s > 0.9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY src_doc_id // 100 ORDER BY src_doc_id), 6) AS ratio FROM b""")
+def running_label_ratio(spark, sf):
+    best = scoring.top_one(_candidates(spark, sf).filter("score IS NOT NULL")).withColumn("label", F.when(F.col("score") > 0.9, 1.0).otherwise(0.0))
+    binned = best.withColumn("bin", F.floor(F.col("src_doc_id") / 100).cast("string"))
+    return classify.running_ratio(binned).select("src_doc_id", "label", *_six("ratio"))
+
+
+@query(f"""WITH w AS (SELECT id, probab, src_text, trg_text, {TRG} AS w FROM corpus_pair WHERE trg_text IS NOT NULL), p AS (SELECT DISTINCT w FROM w)
+SELECT w AS words, list_transform(w, lambda x, i: CASE WHEN length(x) > 3 THEN len(list_filter(w[1:i], lambda y: length(y) > 3)) - 1 END)::INT[] AS kept FROM p""")
+def kept_positions(spark, sf):
+    words = _corpus(spark, sf).filter("trg_text IS NOT NULL").select(T.tokens(F.col("trg_text")).alias("words")).distinct()
+    return words.select("words", corpus.kept_positions(F.col("words"), F.transform("words", lambda w: F.length(w) > 3)).alias("kept"))
+
+
+def _identical(spark, sf):
+    """Links between identical tokens of both sides, as a stand-in for an aligner's output."""
+    w = _corpus(spark, sf).filter("src_text IS NOT NULL AND trg_text IS NOT NULL").select(
+        F.xxhash64(*corpus.PAIR_ORDER).alias("pair"), T.tokens(F.col("src_text")).alias("s"), T.tokens(F.col("trg_text")).alias("t")
+    ).distinct()
+    found = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), (F.array_position("t", x).cast("int") - 1).alias("j"))), lambda x: x["j"] >= 0)
+    back = F.filter(F.transform("t", lambda x, j: F.struct((F.array_position("s", x).cast("int") - 1).alias("i"), j.alias("j"))), lambda x: x["i"] >= 0)
+    return w.select("pair", "s", "t", found.alias("forward"), back.alias("reverse"))
+
+
+@query()
+def links_interpolated(spark, sf):
+    return _identical(spark, sf).select("pair", links.interpolate(F.col("forward"), F.size("s")).alias("target_of"))
+
+
+@query()
+def links_symmetrised(spark, sf):
+    return links.grow_diag_final_and(_identical(spark, sf), "pair", "forward", "reverse")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT id, probab, src_text, trg_text, {SRC} AS s, {TRG} AS t FROM corpus_pair WHERE src_text IS NOT NULL AND trg_text IS NOT NULL),
+f AS (SELECT id, i - 1 AS i, list_position(t, s[i]) - 1 AS j FROM w, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) WHERE list_position(t, s[i]) > 0),
+r AS (SELECT id, list_position(s, t[j]) - 1 AS i, j - 1 AS j FROM w, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS j) WHERE list_position(s, t[j]) > 0)
+SELECT i, j, count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT * FROM f UNION ALL SELECT * FROM r)) GROUP BY i, j""")
+def links_union(spark, sf):
+    w = _corpus(spark, sf).filter("src_text IS NOT NULL AND trg_text IS NOT NULL")
+    pairs = w.select("id", T.tokens(F.col("src_text")).alias("s"), T.tokens(F.col("trg_text")).alias("t")).distinct()
+    f = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), (F.array_position("t", x).cast("int") - 1).alias("j"))), lambda x: x["j"] >= 0)
+    r = F.filter(F.transform("t", lambda x, j: F.struct((F.array_position("s", x).cast("int") - 1).alias("i"), j.alias("j"))), lambda x: x["i"] >= 0)
+    each = pairs.select("id", F.explode(links.union(f, r)).alias("l")).select("id", F.col("l.i").cast("long").alias("i"), F.col("l.j").cast("long").alias("j")).distinct()
+    return each.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ host with few rows leans on the whole.  Declared evidence is bounded: it decides
 says little and yields where the text is clear.
 
 The text model is fitted on at most ``most_samples`` labelled sentences, then once more with the
-sentences of at most ``most_rows`` rows whose label and address agree, each sentence assigned by
+sentences of about ``most_rows`` rows whose label and address agree, each sentence assigned by
 the first model and the label together.  A word's scores are computed once per worker and kept in
 a bounded cache, so a sentence costs a few look-ups.
 
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paraloom.llm.samples import bounded
 from paraloom.operators.hot_keys import language_code
 from paraloom.session import cut
 
@@ -300,14 +301,15 @@ def host_priors(web: DataFrame, strength: float = 10.0) -> DataFrame:
 
 
 def agreeing_rows(web: DataFrame, most_rows: int) -> list[tuple[str, str]]:
-    """(label, text) of at most ``most_rows`` rows whose label is what their address names: a bounded training sample."""
+    """(label, text) of about ``most_rows`` rows whose label is what their address names: a bounded training sample."""
     label = language_code(F.col("language"))
     rows = web.filter(label.isin(*LANGUAGES) & (label == address_language(F.col("uri"))) & F.col("text").isNotNull())
-    return [tuple(r) for r in rows.orderBy(F.xxhash64("row_id"), "row_id").limit(most_rows).select(label, "text").collect()]
+    return [tuple(r) for r in bounded(rows, "row_id", most_rows, web.count()).select(label, "text").collect()]
 
 
 def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_samples: int = 20_000, most_rows: int = 10_000, most_broadcast: int = 500_000) -> DataFrame:
     """``(row_id, languages, label_fits, segments)`` of each row; with ``only_cases`` those whose label doesn't fit, without segments."""
+    web = web.select("row_id", "domain", "language", "uri", "text")
     labelled = samples.filter("text IS NOT NULL AND language IS NOT NULL").orderBy("sample_id").limit(most_samples)
     words = count_words([(r.language, r.text) for r in labelled.select("language", "text").collect()])
     label, address = language_code(F.col("language")), address_language(F.col("uri"))

@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from paraloom.llm.samples import bounded
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "»": "«", "‚": "‘"}
 CLOSE = "”“»«›」』)）]》’\"'"
@@ -348,5 +349,5 @@ def _split(models: tuple[Model, Model]):
 def sentences(docs: DataFrame, most_docs: int = 6_000) -> DataFrame:
     """``(doc_id, start_char, end_char)`` of each sentence."""
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
-    sample = [r.text for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("text").collect()]
+    sample = [r.text for r in bounded(texts, "doc_id", most_docs, docs.count()).select("text").collect()]
     return texts.mapInArrow(_split(train(sample)), "doc_id long, start_char long, end_char long")

@@ -71,8 +71,8 @@ def blocked(src: DataFrame, trg: DataFrame, k: int = 10, block: int = 1_000) ->
         placed = df.join(sizes, "bin").withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         return placed.groupBy("bin", name).agg(F.collect_list(F.struct("doc_id", V.unit(F.col("vec")).alias("vec"))).alias(name[0]))
 
-    pairs = dealt(src, "s_block").join(dealt(trg, "t_block"), "bin").select("bin", "s", "t")
-    return _top(pairs.repartition("bin", F.rand(1)).mapInArrow(_block(k), PAIRS), k)
+    pairs = dealt(src, "s_block").join(dealt(trg, "t_block"), "bin")
+    return _top(pairs.repartition("bin", "s_block", "t_block").select("bin", "s", "t").mapInArrow(_block(k), PAIRS), k)
 
 
 def hashed(src: DataFrame, trg: DataFrame, k: int = 10, dims: int = 64, bits: int = 8, bands: int = 24, seed: int = 1) -> DataFrame:

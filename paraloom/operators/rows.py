@@ -15,7 +15,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", parts:
     shifted by the number of rows in the partitions before it.  Only one count per partition
     reaches the driver.
     """
-    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("part")).count().collect()

@@ -33,26 +33,25 @@ def exact(src: DataFrame, trg: DataFrame, k: int = 10) -> DataFrame:
     return _top(s.join(t, "bin").select("bin", "src_doc_id", "trg_doc_id", V.dot(F.col("u"), F.col("v")).alias("cosine")), k)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+def _side(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of one block."""
+    rows = column.slice(row, 1).flatten()
+    return rows.field("doc_id").to_numpy(zero_copy_only=False), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
 def _block(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                s, t = row["s"], row["t"]
-                if not s or not t:
-                    continue
-                sims = np.array([x["vec"] for x in s]) @ np.array([x["vec"] for x in t]).T
-                ids = np.array([x["doc_id"] for x in t])
-                n = min(k, len(t))
+                src, x = _side(b.column("s"), i)
+                trg, y = _side(b.column("t"), i)
+                sims = x @ y.T
+                n = min(k, len(trg))
+                # the block's top k of each row, with those that tie up to rounding
                 cutoff = -np.partition(-sims, n - 1, axis=1)[:, n - 1] - 1e-8
-                out = [(int(x["doc_id"]), int(ids[j]), float(sims[r, j])) for r, x in enumerate(s) for j in np.flatnonzero(sims[r] >= cutoff[r])]
-                src, trg, cos = zip(*out, strict=True)
+                r, c = np.nonzero(sims >= cutoff[:, None])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["bin"]] * len(src), pa.string()), pa.array(src, pa.int64()), pa.array(trg, pa.int64()), pa.array(cos, pa.float64())],
+                    [pa.array([b.column("bin")[i].as_py()] * len(r), pa.string()), pa.array(src[r], pa.int64()), pa.array(trg[c], pa.int64()), pa.array(sims[r, c])],
                     ["bin", "src_doc_id", "trg_doc_id", "cosine"],
                 )
 

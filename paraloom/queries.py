@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.functions import detect
+from paraloom.functions import detect, metrics
 from paraloom.functions import text as T
 from paraloom.functions import vectors as V
-from paraloom.operators import classify, clusters, corpus, crawl, docvec, domains, embeddings, evaluate, hot_keys, knn, links, rows, scoring
+from paraloom.operators import classify, clusters, corpus, crawl, docvec, domains, embeddings, evaluate, hot_keys, knn, links, rows, samples, scoring
 from paraloom.plans import pipelines
 from paraloom.session import cut, table
 from paraloom.sources import tsv, warc
@@ -673,3 +673,93 @@ def links_union(spark, sf):
     r = F.filter(F.transform("t", lambda x, j: F.struct((F.array_position("s", x).cast("int") - 1).alias("i"), j.alias("j"))), lambda x: x["i"] >= 0)
     each = pairs.select("id", F.explode(links.union(f, r)).alias("l")).select("id", F.col("l.i").cast("long").alias("i"), F.col("l.j").cast("long").alias("j")).distinct()
     return each.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+
+
+METRICS = {
+    "square": "list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i])))",
+    "euclidean": "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]))))",
+    "correlation": "1 - list_cosine_similarity(a, b)",
+    "angle": "acos(greatest(-1, least(1, list_cosine_similarity(a, b))))",
+    "city": "list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - b[i])))",
+    "largest": "list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i])))",
+    "smallest": "list_min(list_transform(range(1, 65), lambda i: abs(a[i] - b[i])))",
+    "minkowski3": "pow(list_sum(list_transform(range(1, 65), lambda i: pow(abs(a[i] - b[i]), 3.0))), 1.0 / 3)",
+    "weighted": "list_sum(list_transform(range(1, 65), lambda i: i * (a[i] - b[i]) * (a[i] - b[i])))",
+    "hamming": "list_sum(list_transform(range(1, 65), lambda i: ((a[i] > 0) != (b[i] > 0))::INT))::DOUBLE",
+    "hamming_share": "list_sum(list_transform(range(1, 65), lambda i: ((a[i] > 0) != (b[i] > 0))::INT)) / 64",
+    "intersection": "list_sum(list_transform(range(1, 65), lambda i: least(p[i], q[i]))) / least(list_sum(p), list_sum(q))",
+    "chi_square": "list_sum(list_transform(range(1, 65), lambda i: (p[i] - q[i]) * (p[i] - q[i]) / (2 * (p[i] + q[i]))))",
+    "divergence": "list_sum(list_transform(range(1, 65), lambda i: p[i] * ln(p[i] / q[i])))",
+    "jeffrey": "list_sum(list_transform(range(1, 65), lambda i: p[i] * ln(2 * p[i] / (p[i] + q[i])) + q[i] * ln(2 * q[i] / (p[i] + q[i]))))",
+}
+
+
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: abs(x) + 0.001) AS h FROM embeddings) SELECT x.vec_id, "
+       + ", ".join(f"round({f}, 6) AS {n}" for n, f in METRICS.items())
+       + " FROM (SELECT l.vec_id, l.v AS a, r.v AS b, l.h AS p, r.h AS q FROM e l JOIN e r ON r.vec_id = l.vec_id + 1) x")
+def vector_metrics(spark, sf):
+    e = _points(spark, sf).withColumn("h", F.transform("vec", lambda x: F.abs(x) + 0.001))
+    r = e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("b"), F.col("h").alias("q"))
+    a, b, p, q = F.col("vec"), F.col("b"), F.col("h"), F.col("q")
+    ramp = F.array(*[F.lit(float(i)) for i in range(1, 65)])
+    found = {
+        "square": metrics.square_distance(a, b), "euclidean": metrics.euclidean(a, b), "correlation": metrics.correlation_distance(a, b), "angle": metrics.angle(a, b),
+        "city": metrics.city_block(a, b), "largest": metrics.largest_difference(a, b), "smallest": metrics.smallest_difference(a, b), "minkowski3": metrics.minkowski(a, b, 3.0),
+        "weighted": metrics.weighted_square_distance(a, b, ramp), "hamming": metrics.hamming(a, b), "hamming_share": metrics.hamming_share(a, b),
+        "intersection": metrics.intersection(p, q), "chi_square": metrics.chi_square(p, q), "divergence": metrics.divergence(p, q), "jeffrey": metrics.jeffrey(p, q),
+    }
+    return e.join(r, "id").select(F.col("id").alias("vec_id"), *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+@query("""SELECT label, i - 1 AS position, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance
+FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i""")
+def label_moments(spark, sf):
+    got = samples.moments(table(spark, sf, "embeddings"), "embedding", "label")
+    return got.select("label", F.col("position").cast("long").alias("position"), "n", *_six("mean", "variance"))
+
+
+@query("""SELECT greatest(0, least(19, floor(score / 0.05)))::INT AS bin, count(*) AS n FROM doc_align WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1""")
+def score_histogram(spark, sf):
+    return samples.histogram(table(spark, sf, "doc_align"), F.col("score"), 0.0, 1.0, 20)
+
+
+@query(f"""WITH x AS (SELECT round(probab, 3) AS score, len({SRC}) > 0 AND len({TRG}) > 0 AND src_text != trg_text AS ok FROM corpus_pair WHERE probab IS NOT NULL AND src_text IS NOT NULL AND trg_text IS NOT NULL),
+s AS (SELECT score, count(*) FILTER (ok) AS p, count(*) FILTER (NOT ok) AS f FROM x GROUP BY score)
+SELECT score, round(sum(p) OVER (ORDER BY score DESC) / (SELECT sum(p) FROM s), 6) AS true_rate, round(sum(f) OVER (ORDER BY score DESC) / (SELECT sum(f) FROM s), 6) AS false_rate FROM s""")
+def roc_curve(spark, sf):
+    known = _corpus(spark, sf).filter("probab IS NOT NULL AND src_text IS NOT NULL AND trg_text IS NOT NULL")
+    right = (F.size(T.tokens(F.col("src_text"))) > 0) & (F.size(T.tokens(F.col("trg_text"))) > 0) & (F.col("src_text") != F.col("trg_text"))
+    return samples.roc(known.select(F.round("probab", 3).alias("score"), right.alias("correct"))).select("score", *_six("true_rate", "false_rate"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT q.id, q.label, k.label AS got, k.id AS other, round(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - k.v[i]) * (q.v[i] - k.v[i]))), 9) AS d FROM e q JOIN e k ON q.id != k.id WHERE q.id % 20 = 0)
+SELECT id, label, arg_min(got, (d, other)) AS got FROM d GROUP BY id, label""")
+def nearest_label(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", V.as_double(F.col("embedding")).alias("vec"))
+    # a search takes as queries every row whose id is divisible by 20, against all rows
+    return samples.nearest_label(e.filter("id % 20 = 0"), e)
+
+
+@query(SQL["bench_histogram"].rpartition("SELECT mindex")[0] + "SELECT r AS rank, round(count(*) FILTER (mindex <= r) / count(*), 6) AS share FROM ranks, range(0, 10) x(r) GROUP BY r HAVING count(*) FILTER (mindex <= r) > 0")
+def match_curve(spark, sf):
+    found = knn.blocked(_docvec(spark, sf, "src"), _docvec(spark, sf, "trg"), block=200).select("bin", "src_doc_id", "trg_doc_id", (-F.col("knn_rank")).alias("score"))
+    curve = samples.match_curve(scoring.correct_rank(found, _docs(spark, sf, "trg")), 10)
+    return curve.select(F.col("rank").cast("long").alias("rank"), *_six("share"))
+
+
+@query()
+def principal_components(spark, sf):
+    return samples.principal(_points(spark, sf), "vec", 4).select("id", "projected")
+
+
+@query()
+def gaussian_mixture(spark, sf):
+    return samples.mixture(samples.principal(_points(spark, sf), "vec", 2).select("id", "projected"), "projected", 3).select("id", "component", "share")
+
+
+@query()
+def length_regression(spark, sf):
+    known = _corpus(spark, sf).filter("src_text IS NOT NULL AND trg_text IS NOT NULL")
+    x = known.select("id", F.array(F.length("src_text").cast("double")).alias("x"), F.length("trg_text").cast("double").alias("y"))
+    return samples.regression(x, "x", "y").select("id", "y", "predicted")

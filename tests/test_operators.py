@@ -303,3 +303,61 @@ def test_paragraph_filters(spark):
     long = "x" * 100
     web = frame(spark, [(long, "EN-gb", 0.99), (long, "en", float("nan")), (long, None, 1.0), (long[:-1], "en", 1.0), (long + "�", "en", 1.0), (None, "en", 1.0)], "text string, language string, confidence double")
     assert [r.language for r in domains.paragraphs(web).collect()] == ["en"]
+
+
+def test_metrics_at_the_edges(spark):
+    from paraloom.functions import metrics
+
+    z, a, b = (F.array(*map(F.lit, v)) for v in ([0.0, 0.0], [1.0, 0.0], [0.0, 2.0]))
+    q = F.array(F.array(F.lit(2.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(3.0)))
+    r = spark.range(1).select(
+        metrics.angle(a, b).alias("angle"), metrics.quadratic_form(a, a, q).alias("form"), metrics.quadratic_difference(a, b, q).alias("diff"), metrics.intersection(z, z).alias("inter"),
+        metrics.chi_square(z, z).alias("chi"), metrics.divergence(a, b).alias("kl"), metrics.jeffrey(a, b).alias("j"), metrics.hamming_share(a, b).alias("h"), metrics.minkowski(a, b, 1.0).alias("m"),
+        metrics.smallest_difference(a, a).alias("low"), metrics.euclidean(F.lit(None).cast("array<double>"), a).alias("none"),
+    ).first()
+    assert r.angle == pytest.approx(math.pi / 2) and r.form == 2 and r["diff"] == 14 and r.inter is None and r.chi == 0 and r.kl == float("inf")
+    assert r.j == pytest.approx(3 * math.log(2)) and r.h == 1 and r.m == 3 and r.low == 0 and r.none is None
+
+
+def test_samples(spark):
+    from paraloom.operators import samples
+
+    s = frame(spark, [(0.9, True), (0.9, False), (0.1, True), (None, True)], "score double, correct boolean")
+    assert [(r.score, r.true_rate, r.false_rate) for r in samples.roc(s.filter("score IS NOT NULL")).orderBy(F.desc("score")).collect()] == [(0.9, 0.5, 1.0), (0.1, 1.0, 1.0)]
+    assert {r["bin"]: r.n for r in samples.histogram(s, F.col("score"), 0.0, 0.5, 5).collect()} == {4: 2, 1: 1}
+    curve = samples.match_curve(frame(spark, [(0,), (2,), (None,), (0,)], "mindex int"), 4)
+    assert {r.rank: r.share for r in curve.collect()} == {0: 0.5, 1: 0.5, 2: 0.75, 3: 0.75}
+    pts = frame(spark, [(i, [float(i), 2.0 * i, 1.0]) for i in range(20)], "id long, vec array<double>")
+    assert len(samples.principal(pts, "vec", 2).first().projected) == 2
+    reg = samples.regression(pts.withColumn("y", F.col("id") * 3.0), "vec", "y").filter("id = 7").first()
+    assert reg.predicted == pytest.approx(21, abs=1e-3)
+
+
+def test_lemmas_and_positions(spark):
+    words = frame(spark, [("psi",), ("dům",), (None,)], "word string")
+    lemmas = frame(spark, [("psi", "pes"), ("psi", "pso")], "word string, lemma string")
+    assert {(r.word, r.lemma) for r in corpus.lemmatise(words, lemmas).collect()} == {("psi", "pes"), ("dům", "dům"), (None, None)}
+    w, k = F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, [True, False, True, True]))
+    assert spark.range(1).select(corpus.kept_positions(w, k).alias("p")).first().p == [0, None, 1, 2]
+    r = embeddings.value_range(frame(spark, [([1.0, 3.0],)], "v array<double>"), "v").first()
+    assert (r.least, r.most, r.mean) == (1.0, 3.0, 2.0)
+    assert spark.range(1).select(embeddings.keep_probability(F.lit(1000), F.lit(1000), 1e-3).alias("p")).first().p == pytest.approx((math.sqrt(1000) + 1) / 1000)
+
+
+def test_pipelines(spark, small):
+    from paraloom.plans import pipelines
+
+    records, langs = spark.read.parquet(f"{small}/warc_record.parquet"), spark.read.parquet(f"{small}/lang_sample.parquet")
+    web = pipelines.extract(records, langs, pipelines.Extraction(text_length=40, confidence=0.5))
+    assert web.count() > 0 and pipelines.select(web).count() >= 0
+    with pytest.raises(ValueError):
+        pipelines.Extraction(confidence=2)
+    head, tail, dictionary = pipelines.train(spark.read.parquet(f"{small}/corpus_pair.parquet"))
+    assert head.count() > 0 and tail.count() > 0 and dictionary.count() > 0
+    numbered = rows.bins(rows.number_rows(head.drop("row_no", "part"), [F.col("id")]), 100)
+    src, trg = (numbered.select("bin", "doc_id", F.col(f"{s}_text").alias("text")) for s in ("src", "trg"))
+    texts = src.union(trg)
+    wv = docvec.word_vectors(corpus.ranked(corpus.vocabulary(F.col("text"), texts)), spark.read.parquet(f"{small}/embeddings.parquet"))
+    cands = pipelines.candidates(src, trg, wv, wv)
+    model = pipelines.fit(cands, src, trg, dictionary)
+    assert pipelines.align(cands, src, trg, dictionary, model).count() >= 0

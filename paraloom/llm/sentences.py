@@ -62,7 +62,9 @@ def _trim(text: str, b: int, e: int) -> tuple[int, int]:
 
 
 def left_of(unit: str, at: int) -> str:
-    """What stands before a mark at ``at``: a word, or a class for numbers, initials, long words."""
+    """What stands before a mark at ``at``: a word, or a class for numbers, initials, long words and scripts without spaces."""
+    if at and unit[at - 1] >= "⺀" and unit[at - 1].isalpha():
+        return "cjk"  # no spaces, so no word to look at
     m = LEFT.search(unit, max(0, at - 24), at)
     if not m:
         return "closer" if at and unit[at - 1] in CLOSE else "none"

@@ -158,7 +158,7 @@ def places_of(unit: str) -> list[Place]:
             # a quote that opened the sentence goes on with who said it
             begins = opened >= 0 and not unit[last:opened].strip()
             fixed = 0 if begins and kind == "letter" and unit[opened] in "“「『《«" else 1
-        elif not space:
+        elif not space and not (left == "cjk" and kind in ("letter", "digit")):
             good = kind == "upper" and end == m.end() and len(word) > 1 and not word.isupper() and left not in ("initial", "none") and not left.startswith(("num", "decimal"))
             glued = opened >= 0 or mark[-1] in "!?"
             if not good and not (glued and kind == "upper"):

@@ -165,6 +165,28 @@ def _vectors(web: DataFrame, ids: DataFrame, words: dict, most_broadcast: int) -
     return docs.mapInArrow(_segments(words), SEGMENT)
 
 
+def packed(segments: DataFrame) -> DataFrame:
+    """``(doc_id, place, mass, concept, w)`` of each sentence and concept, narrow as it is shuffled twice.
+
+    ``place`` holds the sentence's and the line's number, ``mass`` the number of names and
+    numbers and the norm in sixteenths; the last bit of ``concept`` tells names and numbers.
+    """
+    place = F.shiftleft(F.col("seg").cast("long"), 32).bitwiseOR(F.col("line_no").cast("long"))
+    norm = F.least(F.lit(65535), F.round(F.col("norm") * 16)).cast("int")
+    mass = F.shiftleft(F.least(F.lit(32767), F.col("named")), 16).bitwiseOR(norm)
+    concept = lambda k: F.xxhash64(k).bitwiseAND(-2).bitwiseOR(k.rlike("^[\\^0]").cast("long"))
+    each = F.arrays_zip(F.transform("keys", concept).alias("k"), F.transform("weights", lambda w: w.cast("float")).alias("w"))
+    return segments.select("doc_id", place.alias("place"), mass.alias("mass"), F.explode(each).alias("e")).select("doc_id", "place", "mass", F.col("e.k").alias("concept"), "e.w")
+
+
+def unpacked(side: str) -> F.Column:
+    place, mass = F.col(f"{side}_place"), F.col(f"{side}_mass")
+    return F.struct(
+        F.shiftright(place, 32).cast("int").alias("seg"), place.bitwiseAND(0xFFFFFFFF).cast("int").alias("line"),
+        (mass.bitwiseAND(65535) / 16).alias("norm"), F.shiftright(mass, 16).alias("named"),
+    )
+
+
 def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int = 200_000, most_broadcast: int = 2_000_000) -> DataFrame:
     """``(row_id_a, line_a, row_id_b, line_b, score)`` of the lines that translate each other, ``row_id_a < row_id_b``."""
     src_words, trg_words = load_table(concept_table(corpus), most_words)
@@ -172,16 +194,14 @@ def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int
     pairs = cut(pairs)
     s = _vectors(web, pairs.select(F.col("src").alias("doc_id")), src_words, most_broadcast)
     t = _vectors(web, pairs.select(F.col("trg").alias("doc_id")), trg_words, most_broadcast)
-    each = lambda d, p: d.select(
-        F.col("doc_id").alias("src" if p == "s" else "trg"), F.struct(F.col("seg").alias("seg"), F.col("line_no").alias("line"), F.col("norm").alias("norm"), F.col("named").alias("named")).alias(p),
-        F.explode(F.arrays_zip(F.transform("keys", lambda k: F.xxhash64(k)).alias("k"), F.col("weights").alias("w"), F.transform("keys", lambda k: k.rlike("^[\\^0]").cast("int")).alias("r"))).alias("e"),
-    )
-    sx = each(s, "s").select("src", "s", F.col("e.k").alias("concept"), F.col("e.w").alias("ws"), F.col("e.r").alias("named"))
-    tx = each(t, "t").select("trg", "t", F.col("e.k").alias("concept"), F.col("e.w").alias("wt"))
+    sx = packed(s).select(F.col("doc_id").alias("src"), F.col("place").alias("s_place"), F.col("mass").alias("s_mass"), "concept", F.col("w").alias("ws"))
+    tx = packed(t).select(F.col("doc_id").alias("trg"), F.col("place").alias("t_place"), F.col("mass").alias("t_mass"), "concept", F.col("w").alias("wt"))
     dots = (
         pairs.join(sx, "src").join(tx, ["trg", "concept"])
-        .groupBy("src", "trg", "s", "t").agg(F.sum(F.col("ws") * F.col("wt")).alias("cosine"), F.sum("named").alias("shared"))
-        .filter((F.col("cosine") >= MERGE_PART) & agreeing())
+        .groupBy("src", "trg", "s_place", "s_mass", "t_place", "t_mass")
+        .agg(F.sum(F.col("ws") * F.col("wt").cast("double")).alias("cosine"), F.sum(F.col("concept").bitwiseAND(1)).alias("shared"))
+        .filter(F.col("cosine") >= MERGE_PART)
+        .select("src", "trg", unpacked("s").alias("s"), unpacked("t").alias("t"), "cosine", "shared").filter(agreeing())
     )
     return expand(dots)
 

@@ -196,30 +196,27 @@ def hashed(web: DataFrame) -> DataFrame:
     return rows.mapInArrow(_hash_batches, HASHES).filter("n != 0")
 
 
-def copies(web: DataFrame) -> DataFrame:
+def copies(web: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """``(kept_row_id, row_id)``: every copy with the smallest row_id of its group, itself excluded.
 
-    Rows with the same bytes collapse to one variant first, so a group that holds a third of
-    all rows is compared once per spelling; only texts of differing spellings are shuffled.
+    One aggregation over all rows finds the groups; only their members go on.  Rows with the same
+    bytes collapse to one variant, so a group that holds a third of all rows is compared once per
+    spelling, and only texts of differing spellings are shuffled.  The groups are broadcast up to
+    ``most_broadcast`` of them.
     """
     h = cut(hashed(web))
     key = ["lang", "h1", "h2", "n"]
-    variants = h.groupBy(*key, "raw").agg(F.min("row_id").alias("variant"), F.count(F.lit(1)).alias("members"))
-    groups = variants.groupBy(*key).agg(F.min("variant").alias("kept_row_id"), F.sum("members").alias("members"))
-    spelled = cut(
-        variants.select(*key, "raw", "variant").join(groups.filter("members > 1").select(*key, "kept_row_id"), key)
-    )
-    differing = spelled.filter("variant != kept_row_id").select("kept_row_id", "variant")
+    groups = cut(h.groupBy(*key).agg(F.min("row_id").alias("kept_row_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"))
+    members = h.join(F.broadcast(groups) if groups.count() <= most_broadcast else groups, key).select("kept_row_id", "raw", "row_id")
+    variants = cut(members.groupBy("kept_row_id", "raw").agg(F.min("row_id").alias("variant")))
     texts = web.select("row_id", "text")
     pairs = (
-        differing.join(texts.withColumnRenamed("row_id", "variant"), "variant")
+        variants.filter("variant != kept_row_id").select("kept_row_id", "variant").join(texts.withColumnRenamed("row_id", "variant"), "variant")
         .join(texts.select(F.col("row_id").alias("kept_row_id"), F.col("text").alias("kept_text")), "kept_row_id")
     )
     verified = pairs.mapInArrow(_verify, "kept_row_id long, variant long, same boolean").filter("same").select("variant")
-    good = spelled.join(verified.withColumn("ok", F.lit(True)), "variant", "left").filter("ok OR variant = kept_row_id")
-    return (
-        h.join(good.select(*key, "raw", "kept_row_id"), [*key, "raw"]).filter("row_id != kept_row_id").select("kept_row_id", "row_id")
-    )
+    good = variants.join(verified.withColumn("ok", F.lit(True)), "variant", "left").filter("ok OR variant = kept_row_id")
+    return members.join(good.select("kept_row_id", "raw"), ["kept_row_id", "raw"]).filter("row_id != kept_row_id").select("kept_row_id", "row_id")
 
 
 def collapsed(web: DataFrame) -> DataFrame:

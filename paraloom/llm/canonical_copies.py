@@ -201,17 +201,23 @@ def copies(web: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
 
     One aggregation over all rows finds the groups; only their members go on.  Rows with the same
     bytes collapse to one variant, so a group that holds a third of all rows is compared once per
-    spelling, and only texts of differing spellings are shuffled.  The groups are broadcast up to
-    ``most_broadcast`` of them.
+    spelling, and only texts of differing spellings are shuffled.  Groups and
+    the ids of texts to compare are broadcast up to ``most_broadcast`` rows.
     """
     h = cut(hashed(web))
     key = ["lang", "h1", "h2", "n"]
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= most_broadcast else df
+
     groups = cut(h.groupBy(*key).agg(F.min("row_id").alias("kept_row_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"))
-    members = h.join(F.broadcast(groups) if groups.count() <= most_broadcast else groups, key).select("kept_row_id", "raw", "row_id")
+    members = h.join(small(groups), key).select("kept_row_id", "raw", "row_id")
     variants = cut(members.groupBy("kept_row_id", "raw").agg(F.min("row_id").alias("variant")))
-    texts = web.select("row_id", "text")
+    differing = variants.filter("variant != kept_row_id").select("kept_row_id", "variant")
+    needed = cut(differing.select(F.col("variant").alias("row_id")).union(differing.select("kept_row_id")).distinct())
+    texts = web.select("row_id", "text").join(small(needed), "row_id", "left_semi")
     pairs = (
-        variants.filter("variant != kept_row_id").select("kept_row_id", "variant").join(texts.withColumnRenamed("row_id", "variant"), "variant")
+        differing.join(texts.withColumnRenamed("row_id", "variant"), "variant")
         .join(texts.select(F.col("row_id").alias("kept_row_id"), F.col("text").alias("kept_text")), "kept_row_id")
     )
     verified = pairs.mapInArrow(_verify, "kept_row_id long, variant long, same boolean").filter("same").select("variant")

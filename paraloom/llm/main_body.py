@@ -10,6 +10,14 @@ a depth of 2, 4 and 8 tokens; a substring of that length is repeated if suffixes
 ``COVER`` are candidates, and those whose wording or form is that of furniture are removed:
 prose of one kind repeats on a site, too, and stays.
 
+Lines may also go by repetition alone, whatever their wording: on unfolded tokens (numbers as one
+class) substrings of ``WINDOW`` tokens of one line, or the whole line if it is shorter, that
+``STRONG_PAGES`` and ``STRONG_SHARE`` of the host's distinct pages share, and that cover
+``STRONG_COVER`` of a line, remove it.  Pages of the same letters and digits count once.  A host
+within one block is decided there.  For the first and last host of a block, which may go on in
+others, substrings above ``SPARE`` times that share of the block's pages of the host and the
+lines they cover are given out, and counted over all blocks.
+
 Cases: null and empty texts and blank lines have no furniture; rows without a domain form blocks
 of their own; the same page given many times counts as many pages; a page alone in its host
 shares a block with its neighbours; very long pages are one part of one block.
@@ -19,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.llm.furniture import is_furniture, shown
-from paraloom.session import task_count
+from paraloom.session import cut, task_count
 
 BLOCK, BLOCK_CHARS = 2_000, 2_000_000
 RARE, RARE_SHARE, MIN_PAGES, COVER = 3, 0.01, 2, 0.3
+WINDOW, STRONG_PAGES, STRONG_SHARE, STRONG_COVER, SPARE = 8, 20, 0.05, 0.8, 0.25
+#: Tokens of a line with its LINE, at least, to go by repetition alone.
+LEAST_TOKENS = 3
 LINE, NUMBER, NAME = range(3)
 TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,\xa0 ]*|\n|[^\w\s]|_")
+NO_LETTERS = re.compile(r"[\W_]+")
 
 
 class _Numbers(dict):
@@ -42,8 +55,8 @@ class _Numbers(dict):
         return n
 
 
-def block_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers of all pages, and the page and the line number of each; a line begins with the token LINE."""
+def block_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """Token numbers of all pages, and the page and the line number of each; a line begins with the token LINE; the numbers given."""
     ids = _Numbers()
     ids["\n"] = LINE
     flat: list[int] = []
@@ -55,7 +68,7 @@ def block_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     page = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
     count = np.cumsum(tokens == LINE)
     first = np.r_[0, ends[:-1]].astype(np.int64) if texts else np.zeros(0, np.int64)
-    return tokens, page, count - count[first][page] if len(tokens) else count
+    return tokens, page, count - count[first][page] if len(tokens) else count, ids
 
 
 def fold_rare(tokens: np.ndarray, page: np.ndarray, rare: int) -> np.ndarray:
@@ -106,59 +119,178 @@ def repeated(tokens: np.ndarray, page: np.ndarray, min_pages: int = MIN_PAGES, d
     return covered
 
 
-def furniture_lines(texts: list[str], cover: float = COVER) -> list[tuple[int, int]]:
-    """(page, line number) of the furniture of one block of pages."""
-    tokens, page, line = block_tokens(texts)
-    if not len(tokens):
-        return []
-    covered = repeated(fold_rare(tokens, page, max(RARE, round(RARE_SHARE * len(texts)))), page)
-    begin = np.flatnonzero(tokens == LINE)
-    sizes = np.diff(np.r_[begin, len(tokens)])
-    some = (sizes > 1) & (np.add.reduceat(covered.astype(np.int64), begin) >= cover * sizes)
-    out, verdict, at, lines = [], {}, -1, []
-    for p, n in zip(page[begin[some]].tolist(), line[begin[some]].tolist(), strict=True):
-        if p != at:
-            at, lines = p, texts[p].split("\n")
-        text = lines[n]
-        known = verdict.get(text)
-        if known is None:
-            known = verdict[text] = is_furniture(text)
-        if known:
-            out.append((p, n))
+def token_hashes(ids: dict[str, int]) -> np.ndarray:
+    """A hash of each token number that is the same in all blocks."""
+    out = np.zeros(max(ids.values()) + 1, np.uint64)
+    for token, n in ids.items():
+        if n > NAME:
+            out[n] = int.from_bytes(blake2b(token.encode(), digest_size=8).digest())
+    out[LINE], out[NUMBER] = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
     return out
 
 
+def windows(tokens: np.ndarray, begin: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the substrings of WINDOW tokens within one line; a shorter line is one substring."""
+    n = len(tokens)
+    at, line_end = np.arange(n), np.repeat(begin + sizes, sizes)
+    key, flat = np.zeros(n, np.uint64), hashes[tokens]
+    for k in range(WINDOW):
+        key *= np.uint64(0x100000001B3)
+        key += np.where(at + k < line_end, flat[np.minimum(at + k, n - 1)], np.uint64(0))
+    key ^= key >> np.uint64(29)
+    whole = at + WINDOW <= line_end
+    whole[begin] = sizes >= LEAST_TOKENS
+    start = np.flatnonzero(whole)
+    return start, key[start].view(np.int64)
+
+
+def distinct_pages(group: np.ndarray, page: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each position the number of distinct pages, copies of a page left out, that have its group; pages ascend."""
+    order = np.argsort(group, kind="stable")
+    g, p = group[order], page[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]
+    return np.bincount(g, weights=new & first[p]).astype(np.int64)[group]
+
+
+class Block:
+    """What a block of pages gives: ``found`` (page, line number), and of hosts that may go on in other blocks their
+    ``lines`` (page, line number, tokens, starts, keys) and ``counts`` host -> (distinct pages, {key: distinct pages})."""
+
+    def __init__(self, texts: list[str], hosts: list[str], open_hosts: set[str], cover: float = COVER):
+        self.found: list[tuple[int, int]] = []
+        self.lines: list[tuple[int, int, int, list[int], list[int]]] = []
+        self.counts: dict[str, tuple[int, dict[int, int]]] = {}
+        tokens, page, line, ids = block_tokens(texts)
+        if not len(tokens):
+            return
+        begin = np.flatnonzero(tokens == LINE)
+        sizes = np.diff(np.r_[begin, len(tokens)])
+        weak = self._weak(texts, tokens, page, line, begin, sizes, cover)
+        self._strong(texts, hosts, open_hosts, tokens, page, line, begin, sizes, ids, weak)
+
+    def _weak(self, texts, tokens, page, line, begin, sizes, cover) -> np.ndarray:
+        """Lines that repeat with names and numbers folded, and whose wording or form is that of furniture."""
+        covered = repeated(fold_rare(tokens, page, max(RARE, round(RARE_SHARE * len(texts)))), page)
+        some = np.flatnonzero((sizes > 1) & (np.add.reduceat(covered.astype(np.int64), begin) >= cover * sizes))
+        verdict, at, lines, out = {}, -1, [], np.zeros(len(begin), bool)
+        for k, p, n in zip(some.tolist(), page[begin[some]].tolist(), line[begin[some]].tolist(), strict=True):
+            if p != at:
+                at, lines = p, texts[p].split("\n")
+            text = lines[n]
+            known = verdict.get(text)
+            if known is None:
+                known = verdict[text] = is_furniture(text)
+            if known:
+                out[k] = True
+                self.found.append((p, n))
+        return out
+
+    def _strong(self, texts, hosts, open_hosts, tokens, page, line, begin, sizes, ids, weak) -> None:
+        """Lines that repeat word by word on a share of their host's distinct pages."""
+        names: dict[str, int] = {}
+        host = np.array([names.setdefault(h, len(names)) for h in hosts])
+        seen: set[tuple[str, str]] = set()
+        first = np.zeros(len(texts), bool)
+        for k, (h, t) in enumerate(zip(hosts, texts, strict=True)):
+            key = (h, NO_LETTERS.sub("", t.lower()))
+            first[k] = key not in seen
+            seen.add(key)
+        pages = np.bincount(host, weights=first, minlength=len(names)).astype(np.int64)
+        is_open = np.array([h in open_hosts for h in names])
+        need = np.where(is_open, np.maximum(1, np.ceil(SPARE * STRONG_SHARE * pages)), np.maximum(STRONG_PAGES, np.ceil(STRONG_SHARE * pages)))
+        if "" in names:
+            need[names[""]] = len(tokens) + 1  # pages without a domain are of no host
+        start, key = windows(tokens, begin, sizes, token_hashes(ids))
+        # windows of hosts that can't reach what they need aren't counted
+        may = (pages >= need)[host[page[start]]]
+        start, key = start[may], key[may]
+        if not len(start):
+            self._open_pages(names, pages, is_open)
+            return
+        _, group = np.unique(key ^ (host[page[start]] * 0x9E3779B97F4A7C1), return_inverse=True)
+        count = distinct_pages(group, page[start], first)
+        hot = count >= need[host[page[start]]]
+        start, key, count = start[hot], key[hot], count[hot]
+        of_line = np.searchsorted(begin, start, "right") - 1
+        ends = np.minimum(start + WINDOW, (begin + sizes)[of_line])
+        delta = np.bincount(start, minlength=len(tokens) + 1) - np.bincount(ends, minlength=len(tokens) + 1)
+        covered = (np.cumsum(delta[:-1]) > 0).astype(np.int64)
+        good = ~weak & (sizes >= LEAST_TOKENS) & (np.add.reduceat(covered, begin) >= STRONG_COVER * sizes)
+        going_on = is_open[host[page[begin]]]
+        sure = begin[good & ~going_on]
+        self.found += zip(page[sure].tolist(), line[sure].tolist(), strict=True)
+        self._open_pages(names, pages, is_open)
+        for k in np.flatnonzero(good & going_on).tolist():
+            a, b = np.searchsorted(of_line, (k, k + 1))
+            p = int(page[begin[k]])
+            keys = key[a:b].tolist()
+            self.lines.append((p, int(line[begin[k]]), int(sizes[k]), (start[a:b] - begin[k]).tolist(), keys))
+            self.counts[hosts[p]][1].update(zip(keys, count[a:b].tolist(), strict=True))
+
+    def _open_pages(self, names, pages, is_open) -> None:
+        for h, n, o in zip(names, pages.tolist(), is_open.tolist(), strict=True):
+            if o and h:
+                self.counts[h] = (n, {})
+
+
+BLOCK_ROWS = "row_id long, line_no long, host string, size long, starts array<int>, keys array<long>, pages array<long>"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Furniture lines (no host); lines to be decided by their host's counts; and of hosts (no row) the counts."""
     rows: list[int] = []
     texts: list[str] = []
+    hosts: list[str] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        found = furniture_lines(texts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[p] for p, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["row_id", "line_no"]
-        )
+        b = Block(texts, hosts, {hosts[0], hosts[-1]})
+        out = [(rows[p], n, None, None, None, None, None) for p, n in b.found]
+        out += [(rows[p], n, hosts[p], tokens, starts, keys, None) for p, n, tokens, starts, keys in b.lines]
+        out += [(None, None, h, n, None, list(c), list(c.values())) for h, (n, c) in b.counts.items()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row_id", "line_no", "host", "size", "starts", "keys", "pages"])
 
     for b in batches:
-        for row, text in zip(b.column("row_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for row, text, host in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "host")), strict=True):
             rows.append(row)
             texts.append(text)
+            hosts.append(host)
             size += len(text)
             if len(rows) == BLOCK or size > BLOCK_CHARS:
                 yield flush()
-                rows, texts, size = [], [], 0
+                rows, texts, hosts, size = [], [], [], 0
     if rows:
         yield flush()
 
 
+def _across_blocks(blocks: DataFrame) -> DataFrame:
+    """``(row_id, line_no)`` of lines of hosts in several blocks that repeat on a share of all the host's distinct pages."""
+    of_hosts = blocks.filter("row_id IS NULL")
+    total = of_hosts.groupBy("host").agg(F.sum("size").alias("of"))
+    each = of_hosts.select("host", F.explode(F.arrays_zip("keys", "pages")).alias("e")).groupBy("host", F.col("e.keys").alias("key")).agg(F.sum("e.pages").alias("n"))
+    strong = each.filter(F.col("n") >= STRONG_PAGES).join(total, "host").filter(F.col("n") >= STRONG_SHARE * F.col("of")).select("host", "key")
+    lines = blocks.filter("row_id IS NOT NULL AND host IS NOT NULL").select("row_id", "line_no", "host", "size", F.explode(F.arrays_zip("starts", "keys")).alias("e"))
+    hot = lines.select("row_id", "line_no", "host", "size", F.col("e.starts").alias("start"), F.col("e.keys").alias("key")).join(strong, ["host", "key"])
+    starts = hot.groupBy("row_id", "line_no").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("start")).alias("starts"))
+    none = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).alias("n"))
+    covered = F.aggregate("starts", none, lambda x, s: F.struct(s.alias("at"), (x["n"] + F.least(F.lit(WINDOW), s - x["at"])).alias("n")))["n"]
+    return starts.filter(F.least(covered, F.col("size")) >= STRONG_COVER * F.col("size")).select("row_id", "line_no")
+
+
 def furniture(web: DataFrame) -> DataFrame:
     """``(row_id, line_no)`` of each line that isn't part of its page's main body."""
     pages = web.filter("text IS NOT NULL AND text != ''").select(
-        "row_id", "text", F.coalesce(F.lower("domain"), F.lit("")).alias("host"), F.xxhash64("row_id").alias("salt")
+        "row_id", "text", F.coalesce(F.lower("domain"), F.lit("")).alias("host"),
+        # copies of a page lie together, so that they count once
+        F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).alias("salt"),
     )
     parts = task_count(web.sparkSession, web.count(), 20_000)
-    placed = pages.repartitionByRange(parts, "host", "salt").sortWithinPartitions("host", "salt")
-    return placed.select("row_id", "text").mapInArrow(_blocks, "row_id long, line_no long")
+    order = ("host", "salt", F.xxhash64("row_id"))
+    placed = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = cut(placed.select("row_id", "text", "host").mapInArrow(_blocks, BLOCK_ROWS))
+    return blocks.filter("host IS NULL").select("row_id", "line_no").unionByName(_across_blocks(blocks))
 
 
 def main_body(web: DataFrame) -> DataFrame:

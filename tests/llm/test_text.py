@@ -148,6 +148,20 @@ def test_main_body_drops_repeated_furniture(spark):
     assert out[5] == "Body number f of page tells its own story." and out[99] is None and out[100] == ""
 
 
+def test_furniture_in_unknown_wording_goes_by_repetition(spark):
+    # four partitions hold 15 pages each, fewer than STRONG_PAGES
+    body = lambda i: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("mek", "tarsu", "plim", "werto"))
+    often = lambda i: "Ostuni karveth drom silka penuvor tamil gresko badun" if i < 6 else f"own {body(i + 300)}"
+    page = lambda i: f"Zgrul Bafno Navik\n{body(i)}\n{often(i)}\nMorvel destu kanip {i} rulo sabet winor fulgam pelit Xa{chr(97 + i % 26)} ondrak"
+    data = [(i, "Big.example" if i % 2 else "big.example", "en", None, page(i)) for i in range(60)]
+    data += [(100 + i, "copies.example", "en", None, "Zgrul karveth drom silka" + "." * i) for i in range(40)]
+    data += [(200 + i, None, "en", None, f"Ostuni karveth drom silka\n{body(i + 100)}") for i in range(40)]
+    df = web(spark, data)
+    assert pairs(main_body.furniture(df), "row_id", "line_no") == sorted((i, n) for i in range(60) for n in (0, 3))
+    b = main_body.Block([r[4] for r in data], [(r[1] or "").lower() for r in data], set())
+    assert sorted((data[p][0], n) for p, n in b.found) == sorted((i, n) for i in range(60) for n in (0, 3)) and not b.lines
+
+
 # 4: languages
 
 

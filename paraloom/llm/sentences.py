@@ -4,12 +4,15 @@ A text is first parted where line breaks decide: at blank lines, and at every li
 the text is hard-wrapped (its paragraphs are parted by blank lines).  Within such a unit each
 possible boundary, a final mark with its closing quotes and brackets, an emoji, or for scripts
 without final marks a space, is tagged boundary or inside.  The emissions are what stands left
-and right of the place, the tags form a first-order chain, and Viterbi gives the best tagging.
+and right of the place, the tags form a first-order chain whose transitions depend on the
+distance between two places, and Viterbi gives the best tagging.  A unit begins as after a boundary.
 Marks within quotes and brackets are inside.
 
 Training needs no labels.  Ends of units are boundaries, marks before a lower-case letter are
-inside, the others are assigned by expectation maximisation.  In text of an unpunctuated script
-the same is done on text stripped of its punctuation, where only unit ends are known.  The sample
+inside, the others are assigned by expectation maximisation; emissions and transitions are counted
+from the posteriors of each unit's whole chain.  In units of an unpunctuated script
+the same is done on text stripped of its punctuation, where only unit ends are known; there a final
+mark that decides by its form is a place, too.  The sample
 is bounded by ``most_docs``.
 
 Cases: null, empty and blank texts give no sentences; texts without any mark are one sentence per
@@ -22,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +44,9 @@ WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+")
 LEFT = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॿ.,’'])+$")
 ROMAN = re.compile(r"[IVXLC]+$")
 QUOTE_REACH = 300
+#: Characters between two places below which their distance is of each class; the last class has no end.
+GAPS = (3,)
+PUNCTUATION = re.compile(r"[^\w\s\u0300-\u036f\u0900-\u0e7f]|[।॥]")
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -177,15 +184,18 @@ def places_of(unit: str) -> list[Place]:
 
 
 def thai_places(unit: str) -> list[Place]:
-    """For text without final marks every space is a place, seen by the letters around it."""
-    out = []
+    """For text without final marks every space is a place, seen by the letters around it; so are marks that decide by their form."""
+    out = [p for p in places_of(unit) if p.fixed]
+    marked = {p.end for p in out}
     for m in re.finditer(r"\s+", unit):
         b, e = m.start(), m.end()
-        if b == 0 or e == len(unit):
+        if b == 0 or e == len(unit) or b in marked:
             continue
-        left, right = thai_left(unit, b), thai_right(unit, e)
-        out.append(Place(b, left, right, "thai", None))
-    return out
+        # seen as in training, without punctuation
+        left, right = PUNCTUATION.sub("", unit[max(0, b - 12) : b]), PUNCTUATION.sub("", unit[e : e + 12])
+        if left.strip() and right.strip():
+            out.append(Place(b, thai_left(left, len(left)), thai_right(right.lstrip(), 0), "thai", None))
+    return sorted(out, key=lambda p: p.end)
 
 
 def thai_left(unit: str, b: int) -> str:
@@ -201,23 +211,25 @@ def thai_right(unit: str, e: int) -> str:
     return "0" if unit[e].isdigit() else unit[e : e + 3]
 
 
+def gap(before: int, end: int) -> int:
+    """The class of the distance between two places."""
+    return sum(end - before >= g for g in GAPS)
+
+
 class Chain:
-    """Two tags, naive emissions of left and right, and transitions, fitted by EM."""
+    """Counts of two tags: naive emissions of left and right, and transitions by distance, fitted by EM."""
 
     def __init__(self, smooth: float = 0.5):
         self.smooth = smooth
         self.left = [Counter(), Counter()]
         self.right = [Counter(), Counter()]
-        self.kind = [Counter(), Counter()]
-        self.prior = [1.0, 1.0]
+        self.steps = [[[1.0, 1.0], [1.0, 1.0]] for _ in range(len(GAPS) + 1)]
 
     def add(self, p: Place, tag: int, weight: float, starters: set[str], only_right: bool = False) -> None:
         """``only_right``: what ends a sentence is learned from unit ends alone, so that an abbreviation never seen there stays inside."""
         if not only_right:
             self.left[tag][p.left] += weight
         self.right[tag][p.right if p.right in starters else "~" + p.kind] += weight
-        self.kind[tag][p.kind] += weight
-        self.prior[tag] += weight
 
     def table(self, starters: set[str]) -> Model:
         kinds = len(set(self.left[0]) | set(self.left[1])) + 1
@@ -227,31 +239,32 @@ class Chain:
         ratio = lambda c, k, n, x: math.log((c[1][x] + s) / (total[1] + s * n)) - math.log((c[0][x] + s) / (total[0] + s * n))
         left = {x: ratio(self.left, total, kinds, x) for x in set(self.left[0]) | set(self.left[1])}
         right = {x: ratio(self.right, total, rights, x) for x in set(self.right[0]) | set(self.right[1])}
-        return Model(left, right, math.log(self.prior[1] / self.prior[0]), starters)
+        return Model(left, right, [[[n / sum(row) for n in row] for row in step] for step in self.steps], starters)
 
 
 class Model:
-    """Log-odds of a boundary by what stands left and right."""
+    """Log-odds of a boundary by what stands left and right, and probabilities of a tag after another by distance."""
 
-    def __init__(self, left: dict[str, float], right: dict[str, float], prior: float, starters: set[str]):
-        self.left, self.right, self.prior, self.starters = left, right, prior, starters
+    def __init__(self, left: dict[str, float], right: dict[str, float], steps: list, starters: set[str]):
+        self.left, self.right, self.steps, self.starters = left, right, steps, starters
+        self.logs = [[[math.log(x) for x in row] for row in step] for step in steps]
 
     def odds(self, p: Place) -> float:
         right = p.right if p.right in self.starters else "~" + p.kind
         left = self.left.get(p.left)
         if left is None:
             left = 0.0
-        return self.prior + left + self.right.get(right, 0.0)
+        return left + self.right.get(right, 0.0)
 
-    def tag(self, places: list[Place], near: float = -2.0) -> list[int]:
-        """Viterbi; two boundaries with fewer than three characters between them cost ``near``."""
-        score, back = [0.0, -1e9], []
-        before = -10
+    def tag(self, places: list[Place]) -> list[int]:
+        """Viterbi from the unit's begin, which counts as a boundary."""
+        score, back = [-1e9, 0.0], []
+        before = 0
         for p in places:
             emit = [0.0, self.odds(p)] if p.fixed is None else [0.0, 1e6] if p.fixed else [0.0, -1e6]
-            step = near if p.end - before < 3 else 0.0
-            to0 = max((score[0], 0), (score[1], 1))
-            to1 = max((score[0], 0), (score[1] + step, 1))
+            step = self.logs[gap(before, p.end)]
+            to0 = max((score[0] + step[0][0], 0), (score[1] + step[1][0], 1))
+            to1 = max((score[0] + step[0][1], 0), (score[1] + step[1][1], 1))
             back.append((to0[1], to1[1]))
             score = [to0[0] + emit[0], to1[0] + emit[1]]
             before = p.end
@@ -262,6 +275,28 @@ class Model:
             at = b[at]
         return tags[::-1]
 
+    def posteriors(self, places: list[Place]) -> tuple[list[float], list[tuple[int, list[list[float]]]]]:
+        """Forward-backward: of each place the probability of a boundary, and of each step its distance and the probabilities of tag pairs."""
+        emits, gaps, forward = [], [], [[0.0, 1.0]]
+        before = 0
+        for p in places:
+            emits.append((1.0, math.exp(max(-30.0, min(30.0, self.odds(p))))) if p.fixed is None else (0.0, 1.0) if p.fixed else (1.0, 0.0))
+            gaps.append(gap(before, p.end))
+            before = p.end
+            step, f = self.steps[gaps[-1]], forward[-1]
+            now = [(f[0] * step[0][t] + f[1] * step[1][t]) * emits[-1][t] for t in (0, 1)]
+            forward.append([x / sum(now) for x in now])
+        after, tags, pairs = [1.0, 1.0], [], []
+        for k in range(len(places) - 1, -1, -1):
+            step = self.steps[gaps[k]]
+            tags.append(forward[k + 1][1] * after[1] / (forward[k + 1][0] * after[0] + forward[k + 1][1] * after[1]))
+            pair = [[forward[k][a] * step[a][b] * emits[k][b] * after[b] for b in (0, 1)] for a in (0, 1)]
+            total = sum(map(sum, pair))
+            pairs.append((gaps[k], [[x / total for x in row] for row in pair]))
+            after = [sum(step[a][b] * emits[k][b] * after[b] for b in (0, 1)) for a in (0, 1)]
+            after = [x / sum(after) for x in after]
+        return tags[::-1], pairs[::-1]
+
 
 def _unpunctuated(text: str) -> bool:
     return len(THAI.findall(text)) * 2 > len(text.strip())
@@ -269,22 +304,20 @@ def _unpunctuated(text: str) -> bool:
 
 def train(texts: list[str], rounds: int = 6) -> tuple[Model, Model]:
     """The models of punctuated and of unpunctuated text, by EM from unit ends."""
-    known: tuple[list, list] = ([], [])
-    open_: tuple[list, list] = ([], [])
+    chains: tuple[list[list[Place]], list[list[Place]]] = ([], [])
     first: Counter = Counter()
     for t in texts:
-        bare = _unpunctuated(t)
-        units = [t[b:e] for b, e in units_of(t)]
-        for k, u in enumerate(units):
-            u = u.strip()
-            places = thai_places(u) if bare else places_of(u)
-            for p in places:
-                (open_ if p.fixed is None else known)[bare].append(p if p.fixed is None else (p, p.fixed))
-            nxt = units[k + 1].strip() if k + 1 < len(units) else None
+        units = [t[b:e].strip() for b, e in units_of(t)]
+        for u, nxt in zip_longest(units, units[1:]):
+            bare, end = _unpunctuated(u), []
             if bare:
+                u = PUNCTUATION.sub("", u).strip()
+                nxt = PUNCTUATION.sub("", nxt).strip() if nxt and _unpunctuated(nxt) else None
+                if not u:
+                    continue
                 first[thai_right(u, 0)] += 1
                 if nxt and " " in u and (" " in nxt or len(nxt) > 12):
-                    known[1].append((Place(len(u), thai_left(u, len(u)), thai_right(nxt, 0), "thai"), 1))
+                    end = [Place(len(u), thai_left(u, len(u)), thai_right(nxt, 0), "thai", 1)]
             else:
                 word, kind = right_of(u, 0)
                 if kind in ("upper", "letter") and len(u.split()) > 3:
@@ -292,21 +325,29 @@ def train(texts: list[str], rounds: int = 6) -> tuple[Model, Model]:
                 m = re.search(rf"[{FINAL}]+$", u)
                 if m and nxt:
                     word, kind = right_of(nxt, 0)
-                    known[0].append((Place(len(u), left_of(u, m.start()) + m[0][-1], word, kind), 1))
+                    end = [Place(len(u), left_of(u, m.start()) + m[0][-1], word, kind, 1)]
+            places = (thai_places(u) if bare else places_of(u)) + end
+            if places:
+                chains[bare].append(places)
     starters = {w for w, n in first.items() if n >= 5}
     models = []
     for at in (0, 1):
-        guess = [0.5] * len(open_[at])
-        model = Model({}, {}, 0.0, starters)
+        model = Model({}, {}, [[[0.5, 0.5], [0.5, 0.5]]] * (len(GAPS) + 1), starters)
         for _ in range(rounds):
             chain = Chain()
-            for p, tag in known[at]:
-                chain.add(p, tag, 1.0, starters)
-            for p, g in zip(open_[at], guess, strict=True):
-                chain.add(p, 1, g, starters, only_right=True)
-                chain.add(p, 0, 1 - g, starters)
+            for places in chains[at]:
+                tags, pairs = model.posteriors(places)
+                for p, g in zip(places, tags, strict=True):
+                    if p.fixed is not None:
+                        chain.add(p, p.fixed, 1.0, starters)
+                        continue
+                    chain.add(p, 1, g, starters, only_right=True)
+                    chain.add(p, 0, 1 - g, starters)
+                for k, pair in pairs:
+                    for a in (0, 1):
+                        for b in (0, 1):
+                            chain.steps[k][a][b] += pair[a][b]
             model = chain.table(starters)
-            guess = [1 / (1 + math.exp(-max(-30, min(30, model.odds(p))))) for p in open_[at]]
         models.append(model)
     return models[0], models[1]
 
@@ -316,10 +357,10 @@ def split(text: str, models: tuple[Model, Model]) -> list[tuple[int, int]]:
     if not text or not text.strip():
         return []
     out = []
-    bare = _unpunctuated(text)
     for b, e in units_of(text):
         unit = text[b:e]
-        places = thai_places(unit) if bare and THAI.search(unit) else places_of(unit)
+        bare = _unpunctuated(unit)
+        places = thai_places(unit) if bare else places_of(unit)
         begin = 0
         for p, tag in zip(places, models[bare].tag(places) if places else (), strict=True):
             if tag:

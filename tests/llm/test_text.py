@@ -363,3 +363,27 @@ def test_sentences_cover_the_text(text):
     covered = "".join(text[a:b] for a, b in spans)
     assert [c for c in covered if not c.isspace()] == [c for c in text if not c.isspace()]
     assert all(text[a:b] == text[a:b].strip() for a, b in spans)
+
+
+def test_chain_transitions_are_fitted_and_used():
+    steps = [[[0.5, 0.5], [0.9, 0.1]], [[0.4, 0.6], [0.3, 0.7]]]
+    model = sentences.Model({"a": 1.2, "b": -0.7}, {}, steps, set())
+    places = [sentences.Place(e, left, "", "x", fixed) for e, left, fixed in ((9, "a", None), (11, "b", None), (30, "a", 0), (40, "b", None))]
+    paths = {}
+    for path in itertools.product((0, 1), repeat=4):
+        p, last, end = 1.0, 1, 0
+        for x, tag in zip(places, path, strict=True):
+            p *= steps[int(x.end - end >= 3)][last][tag] * ((tag == x.fixed) if x.fixed is not None else np.exp(model.odds(x) * tag))
+            last, end = tag, x.end
+        paths[path] = p
+    total = sum(paths.values())
+    tags, edges = model.posteriors(places)
+    assert tags == pytest.approx([sum(p for path, p in paths.items() if path[k]) / total for k in range(4)])
+    assert edges[1][0] == 0 and edges[1][1][1][0] == pytest.approx(sum(p for path, p in paths.items() if path[:2] == (1, 0)) / total)
+    assert tuple(model.tag(places)) == max(paths, key=paths.get)
+    assert all(step[1] != [0.5, 0.5] for step in trained()[0].steps) and trained()[1].steps[1][1] != [0.5, 0.5]
+
+
+def test_unpunctuated_units_within_other_text():
+    assert units("This line is in English and longer than the other.\nสุรีมีประชากรประมาณ 65 คน ขอบคุณมากครับ") == ["This line is in English and longer than the other.", "สุรีมีประชากรประมาณ 65 คน", "ขอบคุณมากครับ"]
+    assert units("สุรีมีประชากรประมาณ 65 คน!ขอบคุณมากครับ") == ["สุรีมีประชากรประมาณ 65 คน!", "ขอบคุณมากครับ"]

@@ -201,22 +201,24 @@ def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int
         .groupBy("src", "trg", "s_place", "s_mass", "t_place", "t_mass")
         .agg(F.sum(F.col("ws") * F.col("wt").cast("double")).alias("cosine"), F.sum(F.col("concept").bitwiseAND(1)).alias("shared"))
         .filter(F.col("cosine") >= MERGE_PART)
-        .select("src", "trg", unpacked("s").alias("s"), unpacked("t").alias("t"), "cosine", "shared").filter(agreeing())
+        .select("src", "trg", unpacked("s").alias("s"), unpacked("t").alias("t"), "cosine", "shared")
     )
     return expand(dots)
 
 
-def agreeing() -> F.Column:
-    """Whether two sentences are about the same things, by their names and numbers."""
-    fewer = F.least("s.named", "t.named")
-    return F.when(fewer > 0, F.col("shared") >= SHARED * fewer).otherwise(F.col("cosine") >= PLAIN_ACCEPT)
+def agreeing(s_named: F.Column, t_named: F.Column, shared: F.Column, cosine: F.Column) -> F.Column:
+    """Whether two sentences, or a window and a sentence, are about the same things, by their names and numbers."""
+    fewer = F.least(s_named, t_named)
+    return F.when(fewer > 0, shared >= SHARED * fewer).otherwise(cosine >= PLAIN_ACCEPT)
 
 
 def expand(dots: DataFrame) -> DataFrame:
     """Mutual best sentences and merged windows, as lines."""
     far = F.abs(F.col("s.seg") - F.col("t.seg"))
-    by_s = Window.partitionBy("src", "trg", "s").orderBy(F.desc("cosine"), far, "t.seg")
-    by_t = Window.partitionBy("src", "trg", "t").orderBy(F.desc("cosine"), far, "s.seg")
+    # pairs that don't agree are kept as parts of windows, behind all that do
+    by_s = Window.partitionBy("src", "trg", "s").orderBy(F.desc("agree"), F.desc("cosine"), far, "t.seg")
+    by_t = Window.partitionBy("src", "trg", "t").orderBy(F.desc("agree"), F.desc("cosine"), far, "s.seg")
+    dots = dots.withColumn("agree", agreeing(F.col("s.named"), F.col("t.named"), F.col("shared"), F.col("cosine")))
     ranked = dots.withColumn("of_s", F.row_number().over(by_s)).withColumn("of_t", F.row_number().over(by_t))
     # two adjacent sentences against one: their joint cosine from the parts, which share few concepts
     next_s = Window.partitionBy("src", "trg", "t").orderBy("s.seg")
@@ -225,13 +227,17 @@ def expand(dots: DataFrame) -> DataFrame:
     def joint(side: str, w: Window) -> F.Column:
         other, d = F.lead(side).over(w), F.lead("cosine").over(w)
         joined = (F.col(f"{side}.norm") * F.col("cosine") + other["norm"] * d) / F.sqrt(F.pow(F.col(f"{side}.norm"), 2) + F.pow(other["norm"], 2))
-        good = (other["seg"] == F.col(f"{side}.seg") + 1) & (joined >= MERGED) & (joined >= F.greatest("cosine", d) + MERGE_GAIN)
+        whole = "t" if side == "s" else "s"
+        # a part that doesn't agree by itself must have its best here; the window's names are those of both parts
+        fits = F.lead("agree").over(w) | (F.lead(f"of_{side}").over(w) == 1)
+        agree = agreeing(F.col(f"{side}.named") + other["named"], F.col(f"{whole}.named"), F.col("shared") + F.lead("shared").over(w), joined)
+        good = fits & agree & (other["seg"] == F.col(f"{side}.seg") + 1) & (joined >= MERGED) & (joined >= F.greatest("cosine", d) + MERGE_GAIN)
         return F.when(good, F.struct(other["line"].alias("line"), joined.alias("score")))
 
     both = ranked.withColumn("more_s", joint("s", next_s)).withColumn("more_t", joint("t", next_t))
     part = F.col("shared") < WHOLE * F.greatest("s.named", "t.named")
     rows = both.select("src", "trg", F.explode(F.filter(F.array(
-        F.when(((F.col("of_s") == 1) & (F.col("of_t") == 1) | part & ((F.col("of_s") == 1) | (F.col("of_t") == 1))) & (F.col("cosine") >= ACCEPT), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("cosine").alias("score"))),
+        F.when(F.col("agree") & ((F.col("of_s") == 1) & (F.col("of_t") == 1) | part & ((F.col("of_s") == 1) | (F.col("of_t") == 1))) & (F.col("cosine") >= ACCEPT), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("cosine").alias("score"))),
         # the window's first line where its sentence's best is this one, and its second line
         F.when((F.col("of_s") == 1) & F.col("more_s").isNotNull(), F.struct(F.col("s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("more_s.score").alias("score"))),
         F.when((F.col("of_s") == 1) & F.col("more_s").isNotNull(), F.struct(F.col("more_s.line").alias("ls"), F.col("t.line").alias("lt"), F.col("more_s.score").alias("score"))),

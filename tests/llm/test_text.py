@@ -387,3 +387,14 @@ def test_chain_transitions_are_fitted_and_used():
 def test_unpunctuated_units_within_other_text():
     assert units("This line is in English and longer than the other.\nสุรีมีประชากรประมาณ 65 คน ขอบคุณมากครับ") == ["This line is in English and longer than the other.", "สุรีมีประชากรประมาณ 65 คน", "ขอบคุณมากครับ"]
     assert units("สุรีมีประชากรประมาณ 65 คน!ขอบคุณมากครับ") == ["สุรีมีประชากรประมาณ 65 คน!", "ขอบคุณมากครับ"]
+
+
+def test_windows_of_sentences_without_names(spark):
+    # a line of two sentences, the second without names: it has 0.5 to the whole, below what a single pair needs
+    kind = "src long, trg long, s struct<seg:int,line:int,norm:double,named:int>, t struct<seg:int,line:int,norm:double,named:int>, cosine double, shared long"
+    whole = (0, 0, 10.0, 2)
+    data = [(1, 2, (0, 0, 8.0, 2), whole, 0.78, 2), (1, 2, (1, 1, 6.0, 0), whole, 0.58, 0)]
+    data += [(3, 4, (0, 0, 8.0, 0), (0, 0, 10.0, 0), 0.62, 0), (3, 4, (1, 1, 6.0, 0), (0, 0, 10.0, 0), 0.58, 0)]
+    data += [(5, 6, (0, 0, 8.0, 0), (0, 0, 10.0, 0), 0.6, 0), (7, 8, (0, 0, 8.0, 2), (0, 0, 10.0, 2), 0.6, 0), (7, 8, (1, 1, 6.0, 2), (0, 0, 10.0, 2), 0.6, 1)]
+    got = pairs(bitext.expand(spark.createDataFrame(data, kind)), "row_id_a", "line_a", "row_id_b", "line_b")
+    assert got == [(1, 0, 2, 0), (1, 1, 2, 0), (3, 0, 4, 0), (3, 1, 4, 0)]

@@ -1,9 +1,9 @@
 """Sentence alignment of document pairs through shared paired-document concepts.
 
-A concept is the paired document of all training pairs whose target side holds one word.  A word
-of either language is represented by its similarities to the concepts: the cosine between the set
-of training pairs that hold the word and the concept's set.  Each word keeps its ``TOP`` nearest
-concepts, so a sentence is a sparse vector of some twenty weights, and numbers and name stems are
+A concept is the paired document of all training pairs whose target side holds one word.  A source word
+is represented by its similarities to the concepts: the cosine between the set of training pairs
+that hold the word and the concept's set.  It keeps its ``TOP`` nearest concepts; a target word is
+represented by its own concept alone.  So a sentence is a sparse vector of some twenty weights, and numbers and name stems are
 concepts of their own.  Sentences of a document pair meet in a sparse cosine join on
 (document, concept).  A pair of sentences is taken if each is the other's best; where two adjacent
 sentences together match one better than either alone, the merged window is taken; a sentence

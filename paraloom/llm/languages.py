@@ -7,18 +7,24 @@ counted over all rows by a grouped aggregation and smoothed towards the counts o
 host with few rows leans on the whole.  Declared evidence is bounded: it decides where the text
 says little and yields where the text is clear.
 
-The text model is fitted on at most ``most_samples`` labelled sentences, then once more with the
-sentences of about ``most_rows`` rows whose label and address agree, each sentence assigned by
-the first model and the label together.  A word's scores are computed once per worker and kept in
-a bounded cache, so a sentence costs a few look-ups.
+The text model is fitted on at most ``most_samples`` labelled sentences and the sentences of about
+``most_rows`` rows whose label and address agree: first all under their row's label, then, once
+more, each under the language that this model and the label together give it, so that a foreign
+sentence in a row is counted for its own language.  A word's scores are computed once per worker
+and kept in a bounded cache, so a sentence costs a few look-ups.
 
 A sentence is evidence of a language of its own if it has ``MIN_WORDS`` words or more, its best
 language leads by ``MARGIN`` nats and, where that isn't the document's likeliest language, beats
-that by ``OTHER_MARGIN``; other units join the language of the document.
+that by ``OTHER_MARGIN``; other units join the language of the document.  A background model of
+the letters of all languages stands for every other language: a word that a language's vocabulary
+lacks speaks against it as much as such words are rare in held-out sentences of the language.  A
+sentence likelier under the background by ``MARGIN`` is of none of the languages, and so is a text none of
+whose sentences is of one.
 
 Cases: texts without words (null, empty, numbers only) get no language; labels are compared
 without letter case and region suffix; names and single foreign words cannot outweigh a sentence
-because a word's contribution is clipped; words broken by wrong decoding say nothing, and the
+because a word's contribution is clipped; a text in none of LANGUAGES gets none, and only its
+label tells whether it fits; words are seen composed and without hidden characters; words broken by wrong decoding say nothing, and the
 models know words without their accents, too.  Ties between languages go to the declared one, then to the order of LANGUAGES.
 """
 
@@ -29,6 +35,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +49,12 @@ from paraloom.session import cut
 LANGUAGES = ("en", "cs", "de", "sk", "fr")
 MIN_WORDS, MARGIN, OTHER_MARGIN = 4, 4.0, 12.0
 CLIP, NAME_WEIGHT = 5.0, 0.2
+#: The most a known word speaks for a language against the background, and the bounds of the rate of unknown words.
+KNOWN, UNKNOWN = 2.0, (0.15, 0.2)
 DECLARED, ADDRESS = 3.0, 2.0
 #: Characters that wrong decoding leaves in words; the letters beside them are fragments and say nothing.
 BROKEN = "\u0080-\u009f¡-¦¨©¬-¯±-´¶¸-º¼-¾ƒˆ-˝‚†‡‰√∂≈∞≤≥⌐─-▟�"
+ANY_BROKEN = re.compile(f"[{BROKEN}]")
 WORD = re.compile(rf"(?<![^\W\d_])(?<![{BROKEN}])[^\W\d_]++(?![{BROKEN}])")
 BREAK = re.compile(r"(?<=[.?!…])[\"”“»«'’)\]]*\s+|\n+|\s+[/|–—•»>]\s+|(?<=[a-zà-ž][.?!])(?=[A-ZÀ-Ž])|;\s+")
 CACHE = 300_000
@@ -53,9 +63,10 @@ CACHE = 300_000
 class TextModel:
     """log P(word | language) from labelled sentences, mixing whole words and character n-grams."""
 
-    def __init__(self, words: list[dict[str, int]], order: int = 4):
+    def __init__(self, words: list[dict[str, int]], unknown: list[float] | None = None, order: int = 4):
         self.order = order
         self.words = words
+        self.strange = [math.log(x) for x in unknown or [UNKNOWN[0]] * len(LANGUAGES)]
         self.grams = [defaultdict(Counter) for _ in LANGUAGES]
         self.alphabet = {c for ws in self.words for w in ws for c in w}
         self.floor = 1 / (len(self.alphabet) + 200)
@@ -67,6 +78,10 @@ class TextModel:
                         self.grams[at][padded[i - k : i]][padded[i]] += min(n, 3)
         self.totals = [{k: (sum(c.values()), len(c)) for k, c in g.items()} for g in self.grams]
         self.sizes = [max(1, sum(ws.values())) for ws in self.words]
+        letters: Counter = Counter()
+        for g in self.grams:
+            letters.update(g[""])
+        self.letters = {c: math.log(n / letters.total()) for c, n in letters.items()}
 
     def _chars(self, at: int, word: str) -> float:
         grams, totals, total = self.grams[at], self.totals[at], 0.0
@@ -83,40 +98,42 @@ class TextModel:
         return total
 
     def score(self, word: str) -> list[float]:
-        """Scores of the word per language, centred and clipped; a capitalised word may be a name and weighs little.
+        """Scores of the word per language, centred and clipped, then those against the background; a capitalised word may be a name and weighs little.
 
-        A word with a character that no labelled sentence has says nothing.
+        A word with a character that no labelled sentence has speaks against all languages, but not between them.
         """
         weight = NAME_WEIGHT if word[0].isupper() and not word.isupper() else 1.0
         word = word.lower()
         if not self.alphabet.issuperset(word):
-            return [0.0] * len(LANGUAGES)
+            return [0.0] * len(LANGUAGES) + [weight * x for x in self.strange]
         raw = []
         for at in range(len(LANGUAGES)):
             chars = math.exp(max(self._chars(at, word), -600))
             raw.append(math.log(0.7 * self.words[at].get(word, 0) / self.sizes[at] + 0.3 * chars + 1e-300))
         best = max(raw)
-        return [weight * max(r - best, -CLIP) for r in raw]
+        ground = sum(map(self.letters.__getitem__, word)) + self.letters[" "]
+        known = [min(KNOWN, r - ground) if word in ws else x for r, ws, x in zip(raw, self.words, self.strange, strict=True)]
+        return [weight * max(r - best, -CLIP) for r in raw] + [weight * x for x in known]
 
 
 class Scorer:
     """Word scores by look-up, with a bounded cache."""
 
-    def __init__(self, words: list[dict[str, int]]):
-        self.model = TextModel(words)
+    def __init__(self, words: list[dict[str, int]], unknown: list[float] | None = None):
+        self.model = TextModel(words, unknown)
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(LANGUAGES)))
+        self.rows = np.zeros((1 << 12, 2 * len(LANGUAGES)))
 
-    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed scores and number of words of each unit."""
+    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit the summed scores between the languages, those against the background, and the number of words."""
         if len(self.ids) > CACHE:
             self._reset()
         ids, flat, counts = self.ids, [], []
         for u in units:
-            ws = WORD.findall(u)
+            ws = WORD.findall(plain(u))
             counts.append(len(ws))
             if ws:
                 ws[0] = ws[0].lower()
@@ -129,14 +146,21 @@ class Scorer:
                     self.rows[k] = self.model.score(w)
                 flat.append(k)
         n = np.array(counts, np.int64)
-        total = np.zeros((len(flat) + 1, len(LANGUAGES)))
+        total = np.zeros((len(flat) + 1, 2 * len(LANGUAGES)))
         if flat:
             np.cumsum(self.rows[np.array(flat)], axis=0, out=total[1:])
         ends = np.cumsum(n)
-        return total[ends] - total[ends - n], n
+        both = total[ends] - total[ends - n]
+        return both[:, : len(LANGUAGES)], both[:, len(LANGUAGES) :], n
 
 
 _SCORERS: dict[int, Scorer] = {}
+HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+
+
+def plain(text: str) -> str:
+    """The text with accents composed and without soft hyphens and zero-width characters, which part no words."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(HIDDEN))
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -161,7 +185,7 @@ def count_words(samples: list[tuple[str, str]]) -> list[Counter]:
     words = [Counter() for _ in LANGUAGES]
     for lang, text in samples:
         if lang in LANGUAGES:
-            words[LANGUAGES.index(lang)].update(WORD.findall(text.lower()))
+            words[LANGUAGES.index(lang)].update(WORD.findall(plain(text).lower()))
     return words
 
 
@@ -175,27 +199,46 @@ def without_accents(words: Counter, share: float = 0.1) -> Counter:
 
 
 def refine(words: list[Counter], rows: list[tuple[str, str]], trust: float = 10.0, least: int = 3) -> list[Counter]:
-    """The words with those of the rows' sentences added, each sentence under its likeliest language.
+    """The words with those of the rows' sentences added, first under the row's label, then each sentence under its likeliest language.
 
     The row's label counts ``trust`` nats; single words are left out, and so are words of fewer
     than ``least`` occurrences, mostly names.
     """
-    scorer, more = Scorer(words), [Counter() for _ in LANGUAGES]
-    units = [(label, text[s:e]) for label, text in rows for s, e in units_of(text)]
-    score, n = scorer([u for _, u in units])
-    score += trust * np.array([[x == label for x in LANGUAGES] for label, _ in units], float).reshape(-1, len(LANGUAGES))
-    for (_, u), at, k in zip(units, score.argmax(axis=1).tolist(), n.tolist(), strict=True):
-        if k >= 2:
-            more[at].update(w.lower() for w in WORD.findall(u))
-    return [without_accents(a + Counter({w: c for w, c in b.items() if c >= least})) for a, b in zip(words, more, strict=True)]
+    units = [(label, u, ws) for label, text in rows for s, e in units_of(text) if len(ws := WORD.findall(plain(u := text[s:e]))) >= 2]
+    declared = np.array([[x == label for x in LANGUAGES] for label, _, _ in units], float).reshape(-1, len(LANGUAGES))
+    at = declared.argmax(axis=1) if len(units) else []
+    for again in (True, False):
+        more = [Counter() for _ in LANGUAGES]
+        for (_, _, ws), k in zip(units, at, strict=True):
+            more[k].update([w.lower() for w in ws])
+        both = [without_accents(a + Counter({w: c for w, c in b.items() if c >= least})) for a, b in zip(words, more, strict=True)]
+        if again and units:
+            score, _, _ = Scorer(both)([u for _, u, _ in units])
+            at = (score + trust * declared).argmax(axis=1)
+    return both
+
+
+def unknown_rates(words: list[Counter], rows: list[tuple[str, str]]) -> list[float]:
+    """Of each language the share of lower-case words of one half of the rows, split by their texts' digests, that the other half and ``words`` lack."""
+    halves: tuple[list[Counter], list[Counter]] = ([Counter() for _ in LANGUAGES], [Counter() for _ in LANGUAGES])
+    for label, text in rows:
+        if label in LANGUAGES:
+            halves[blake2b(text.encode(errors="replace"), digest_size=1).digest()[0] & 1][LANGUAGES.index(label)].update(w for w in WORD.findall(plain(text)) if w.islower())
+    out = []
+    for at in range(len(LANGUAGES)):
+        held = halves[1][at]
+        seen = halves[0][at].keys() | words[at].keys()
+        missing = sum(n for w, n in held.items() if w not in seen)
+        out.append(min(UNKNOWN[1], max(UNKNOWN[0], missing / max(1, held.total()))))
+    return out
 
 
-def _identify(words: list[dict[str, int]], only_cases: bool):
-    key = hash(tuple(frozenset(w.items()) for w in words))
+def _identify(words: list[dict[str, int]], unknown: list[float], only_cases: bool):
+    key = hash((*unknown, *(frozenset(w.items()) for w in words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
-            _SCORERS[key] = Scorer(words)
+            _SCORERS[key] = Scorer(words, unknown)
         scorer = _SCORERS[key]
         for b in batches:
             if b.num_rows:
@@ -218,20 +261,23 @@ def _batch(b: pa.RecordBatch, scorer: Scorer, only_cases: bool) -> pa.RecordBatc
             units.append(t[s:e])
             owner.append(i)
     own = np.array(owner, np.int64)
-    score, n = scorer(units)
+    score, known, n = scorer(units)
     whole = np.zeros((len(texts), len(LANGUAGES)))
+    whole_known = np.zeros((len(texts), len(LANGUAGES)))
     words = np.zeros(len(texts), np.int64)
     np.add.at(whole, own, score)
+    np.add.at(whole_known, own, known)
     np.add.at(words, own, n)
     doc = whole + prior
     posterior = softmax(score + prior[own]) if len(own) else np.zeros((0, len(LANGUAGES)))
     ranked = np.sort(score, axis=1)
     sure = (n >= MIN_WORDS) & (ranked[:, -1] - ranked[:, -2] >= MARGIN)
     best = score.argmax(axis=1) if len(own) else np.zeros(0, np.int64)
+    strange = known[np.arange(len(own)), best] < -MARGIN
     bounds = np.searchsorted(own, np.arange(len(texts) + 1))
     doc_best, doc_p = doc.argmax(axis=1), softmax(doc)
     at = np.arange(len(own))
-    sure &= (best == doc_best[own]) | (score[at, best] - score[at, doc_best[own]] >= OTHER_MARGIN)
+    sure &= ((best == doc_best[own]) | (score[at, best] - score[at, doc_best[own]] >= OTHER_MARGIN)) & ~strange
     rows, langs, right, segments = [], [], [], []
     for i, label in enumerate(labels):
         if not words[i]:
@@ -242,6 +288,10 @@ def _batch(b: pa.RecordBatch, scorer: Scorer, only_cases: bool) -> pa.RecordBatc
         found: dict[int, float] = {}
         for k in np.flatnonzero(sure[lo:hi]) + lo:
             found[int(best[k])] = max(found.get(int(best[k]), 0.0), float(posterior[k, best[k]]))
+        if not found and words[i] >= MIN_WORDS and whole_known[i, doc_best[i]] < -MARGIN and not ANY_BROKEN.search(texts[i]):
+            if not only_cases:  # a text in none of the languages
+                rows.append(i), langs.append([]), right.append(label is None), segments.append([])
+            continue
         if not found:
             at = int(doc_best[i])
             if label is not None and doc[i, at] - doc[i, LANGUAGES.index(label)] < OTHER_MARGIN:
@@ -313,7 +363,9 @@ def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_
     labelled = samples.filter("text IS NOT NULL AND language IS NOT NULL").orderBy("sample_id").limit(most_samples)
     words = count_words([(r.language, r.text) for r in labelled.select("language", "text").collect()])
     label, address = language_code(F.col("language")), address_language(F.col("uri"))
-    words = refine(words, agreeing_rows(web, most_rows))
+    trusted = agreeing_rows(web, most_rows)
+    unknown = unknown_rates(words, trusted)
+    words = refine(words, trusted)
     hosts = cut(host_priors(web))
     hosts = F.broadcast(hosts) if hosts.count() <= most_broadcast else hosts
     rows = web.filter("text IS NOT NULL").join(hosts, F.lower("domain") == F.col("host"), "left").select(
@@ -324,7 +376,7 @@ def identify(web: DataFrame, samples: DataFrame, only_cases: bool = False, most_
         ],
     )
     return rows.mapInArrow(
-        _identify(words, only_cases),
+        _identify(words, unknown, only_cases),
         "row_id long, languages array<struct<language: string, confidence: double>>, label_fits boolean, "
         "segments array<struct<start_char: int, end_char: int, language: string, confidence: double>>",
     )

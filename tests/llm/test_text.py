@@ -171,7 +171,7 @@ def test_language_held_out_accuracy(small):
     rows = duckdb.sql(f"SELECT language, text FROM '{small}/lang_sample.parquet' WHERE text IS NOT NULL ORDER BY sample_id").fetchall()
     train, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     scorer = languages.Scorer(languages.count_words(train))
-    score, _ = scorer([t for _, t in held])
+    score, _, _ = scorer([t for _, t in held])
     right = sum(languages.LANGUAGES[k] == lang for k, (lang, _) in zip(score.argmax(axis=1), held, strict=True))
     assert right >= 0.95 * len(held)
 
@@ -186,6 +186,28 @@ def test_mixed_wrong_and_missing_labels(spark, small):
     assert [s.language for s in full.segments] == ["cs", "en"] and full.segments[1].end_char == len(f"{cs} {en}") and all(0 < s.confidence <= 1 for s in full.segments)
 
 
+def test_other_languages_are_no_cases(spark, small):
+    other = [
+        "Los ciudadanos de la ciudad quieren que el gobierno haga algo para mejorar la vida en los pueblos.", "Rada miasta zatwierdziła wczoraj nowy budżet, który przewiduje większe wydatki na szkoły.",
+        "A városi tanács tegnap elfogadta az új költségvetést, és több pénzt ad az iskoláknak.", "Il consiglio comunale ha approvato ieri il nuovo bilancio e gli abitanti sono contenti.",
+        "De gemeenteraad heeft gisteren de nieuwe begroting goedgekeurd en geeft meer geld aan scholen.", "Kaupunginvaltuusto hyväksyi eilen uuden talousarvion ja antaa enemmän rahaa kouluille.",
+    ]
+    known = "Obyvatelé si stěžují, že nová knihovna je příliš hlučná."
+    data = [(i, "d", label, None, t) for i, (label, t) in enumerate((x, t) for x in (None, "en") for t in other)] + [(50, "d", None, None, known), (51, "d", "en", None, f"{other[0]} {known}"), (52, "d", None, None, unicodedata.normalize("NFD", known))]
+    df, sample = web(spark, data), spark.read.parquet(f"{small}/lang_sample.parquet")
+    assert {r.row_id: [x.language for x in r.languages] for r in languages.identify(df, sample, only_cases=True).collect()} == {50: ["cs"], 51: ["cs"], 52: ["cs"]}
+    every = {r.row_id: (r.languages, r.label_fits) for r in languages.identify(df, sample).collect()}
+    assert all(every[i] == ([], i < len(other)) for i in range(2 * len(other)))
+
+
+def test_pattern_the_samples_lack_keeps_its_label():
+    # the samples know these words from Czech alone; the rows tell whose they are
+    samples = [("cs", "Firmy se dohodly, že nová brána bude hotová před zimou.")] * 5 + [("sk", "Obyvatelia sa sťažujú, že knižnica je hlučná.")] * 5
+    rows = [("sk", "Firmy sa dohodli, že nová brána bude hotová ešte pred zimou.")] * 20 + [("cs", "Firmy se dohodly, že nová brána bude hotová před zimou.")] * 20
+    score, _, _ = languages.Scorer(languages.refine(languages.count_words(samples), rows))([rows[0][1], rows[-1][1]])
+    assert [languages.LANGUAGES[k] for k in score.argmax(axis=1)] == ["sk", "cs"]
+
+
 # 5: copies
 
 

@@ -14,6 +14,8 @@ Lines follow from their sentences, so joined, moved, added and left-out lines ne
 Training is one aggregation over all training pairs.  The concept table is sent to the workers and holds at most ``most_words`` words
 a side, the most frequent; rarer words are represented by themselves.
 
+Lines that aren't main body by ``main_body``, looked for among the documents of the pairs, are left out.
+
 Cases: candidate pairs given twice count once; null ids, null or empty texts and furniture lines
 give no rows; ties go to the nearer position, then the earlier sentence; documents may be in many
 pairs; a document paired with itself gives none.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.furniture import is_furniture
+from paraloom.llm import main_body
 from paraloom.session import cut
 
 TOP, LEAST_COSINE, LEAST_COUNT = 3, 0.08, 3
@@ -131,10 +133,10 @@ def _segments(words: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, seg, line_no, norms, named, keys, weights = [], [], [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                n = 0
+            for i, (text, drop) in enumerate(zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True)):
+                n, drop = 0, set(drop or ())
                 for no, line in enumerate(text.split("\n")):
-                    if not line.strip() or is_furniture(line):
+                    if not line.strip() or no in drop:
                         continue
                     for part in parts_of(line, words):
                         v = vector(part, words)
@@ -157,12 +159,10 @@ def _segments(words: dict):
     return run
 
 
-def _vectors(web: DataFrame, ids: DataFrame, words: dict, most_broadcast: int) -> DataFrame:
-    """One row per sentence and concept of the documents in ``ids``."""
+def _of(docs: DataFrame, ids: DataFrame, most_broadcast: int) -> DataFrame:
+    """The documents in ``ids``."""
     ids = ids.distinct()
-    ids = F.broadcast(ids) if ids.count() <= most_broadcast else ids
-    docs = web.filter("text IS NOT NULL").select(F.col("row_id").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return docs.mapInArrow(_segments(words), SEGMENT)
+    return docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_semi")
 
 
 def packed(segments: DataFrame) -> DataFrame:
@@ -192,8 +192,13 @@ def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int
     src_words, trg_words = load_table(concept_table(corpus), most_words)
     pairs = pairs.filter("src_doc_id != trg_doc_id").select(F.col("src_doc_id").alias("src"), F.col("trg_doc_id").alias("trg")).distinct()
     pairs = cut(pairs)
-    s = _vectors(web, pairs.select(F.col("src").alias("doc_id")), src_words, most_broadcast)
-    t = _vectors(web, pairs.select(F.col("trg").alias("doc_id")), trg_words, most_broadcast)
+    source, target = pairs.select(F.col("src").alias("doc_id")), pairs.select(F.col("trg").alias("doc_id"))
+    docs = web.filter("text IS NOT NULL").select(F.col("row_id").alias("doc_id"), "domain", "text")
+    of_pairs = _of(docs, source.unionByName(target), most_broadcast).withColumnRenamed("doc_id", "row_id")
+    drop = cut(main_body.furniture(of_pairs).groupBy(F.col("row_id").alias("doc_id")).agg(F.collect_set("line_no").alias("drop")))
+    drop = F.broadcast(drop) if drop.count() <= most_broadcast // 10 else drop
+    s = _of(docs.drop("domain"), source, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(src_words), SEGMENT)
+    t = _of(docs.drop("domain"), target, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(trg_words), SEGMENT)
     sx = packed(s).select(F.col("doc_id").alias("src"), F.col("place").alias("s_place"), F.col("mass").alias("s_mass"), "concept", F.col("w").alias("ws"))
     tx = packed(t).select(F.col("doc_id").alias("trg"), F.col("place").alias("t_place"), F.col("mass").alias("t_mass"), "concept", F.col("w").alias("wt"))
     dots = (

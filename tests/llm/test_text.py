@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oracle import same
-from paraloom.llm import bitext, canonical_copies, encodings, furniture, languages, main_body, mixture, queries, sentences, site_lines, tokens
+from paraloom.llm import bitext, canonical_copies, encodings, languages, main_body, mixture, queries, sentences, site_lines, tokens
 
 WEB = "row_id long, domain string, language string, uri string, text string"
 
@@ -114,52 +114,72 @@ def test_cleaned_keeps_extra_columns(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(3, 5), min_size=1, max_size=12), min_size=1, max_size=6))
-def test_repeats_equal_brute_force(pages):
-    tokens_, page = np.array([x for p in pages for x in p], np.int64), np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    got = main_body.repeated(tokens_, page, 2, (4, 8))
-    want = np.zeros(len(tokens_), bool)
-    starts = np.cumsum([0] + [len(p) for p in pages])
-    for depth in (4, 8):
-        where = defaultdict(set)
-        for n, p in enumerate(pages):
-            for i in range(len(p) - depth + 1):
-                where[tuple(p[i : i + depth])].add(n)
-        for n, p in enumerate(pages):
-            for i in range(len(p) - depth + 1):
-                if len(where[tuple(p[i : i + depth])]) >= 2:
-                    want[starts[n] + i : starts[n] + i + depth] = True
-    assert (got == want).all()
-
-
-def test_furniture_and_prose():
-    for line in ("Home | About us | Products | Contact X", "Tags: a, b", "Page 3 of 9 – X", "« previous  1 2 3  next »", "© 2012 X. All rights reserved.", "Úvod > Kapela > Xx > Velká kapela",
-                 "X, s.r.o., Nábřežní 15, tel. 478 343", "Sdílejte na sociálních sítích (3)", "Foto: A / B. Zvětšit obrázek", "X uses cookies. By using this site you agree to this.", "A new thing. Full story »"):
-        assert furniture.is_furniture(line), line
-    for line in ("New rules oblige X to explain what its cookies and the cheap route are for.", "All rights to the new map were bought by X last week.", "• old method X: 18 pieces", "– fast method, X, 10 pounds",
-                 "Title: a | Price: 3 EUR | Place: b", "Old map: X", "Large route – X & Y", "Many readers of X ask how to subscribe to the newsletter of Y.", ""):
-        assert not furniture.is_furniture(line), line
-
-
-def test_main_body_drops_repeated_furniture(spark):
-    data = [(i, None if i % 3 else "h.example", "en", None, f"Home | News | Contact\nBody number {chr(97 + i % 26)} of page tells its own story.\nShare this with your friends ({i})") for i in range(30)] + [(99, "h", "en", None, None), (100, "h", "en", None, "")]
-    df = web(spark, data)
-    assert pairs(main_body.furniture(df), "row_id", "line_no") == sorted((i, n) for i in range(30) for n in (0, 2))
+def test_suffix_ranks_equal_brute_force(lines):
+    tokens_ = np.array([x for p in lines for x in p], np.int64)
+    ends = np.repeat(np.cumsum([len(p) for p in lines]), [len(p) for p in lines])
+    for depth, rank in main_body.suffix_ranks(tokens_, ends).items():
+        cut_ = [tuple(tokens_[i : min(i + depth, e)]) for i, e in enumerate(ends.tolist())]
+        # rank order is that of the substrings, a shorter one first
+        assert [cut_[i] for i in np.lexsort((np.arange(len(cut_)), rank))] == sorted(cut_)
+        assert len(set(rank.tolist())) == len(set(cut_))
+
+
+def test_forms():
+    for line, want in {
+        "Home | About us | Products | Contact X": ("|", 4), "« previous  1 2 3  next »": None, "Úvod > Kapela > Xx > Velká kapela": (">", 4), "Aaa  Bbb  Ccc": (" ", 3), "A » B » C » D » E » F": ("»", 5), "A / B / C": ("/", 3),
+        "Title: a | Price: 3 EUR | Place: b": None, "• old method X: 18 pieces": None, "Two  gaps  in a sentence.": None, "a | b": None, "": None, "every  space  of  this  line  is  a  gap  here": None,
+    }.items():
+        assert main_body.form(line) == want or want is None and line.startswith("«"), line
+
+
+def made_up_pages(n, seed=3):
+    """Pages of made-up words: sentences begin lines and stand within lines; one kind of sentence is always a line of its own."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    starts = [f"{word()} {word()}" for _ in range(6)]
+    sentence = lambda: f"{rng.choice(starts).capitalize()} {word()} {word()} {word()}."
+    pages, want = [], set()
+    for i in range(n):
+        body = [" ".join(sentence() for _ in range(3)), f"Gopa lemu {word()} {word()} dosi.", " ".join(sentence() for _ in range(2)), " ".join(sentence() for _ in range(2))]
+        rng.shuffle(body)
+        head = [f"Fasi roku: {word()}"] if i % 3 else [f"Fasi roku: {word()}", f"{word()} > {word()} > {word()}"]
+        tail = [f"Nite {word()} {word()} mabe suki {i}"]
+        pages.append((i, rng.choice([None, "a.example", f"h{i}.example"]), "en", None, "\n".join(head + [f"{word().capitalize()} {word()}"] + body + tail)))
+        want |= {(i, k) for k in range(len(head))} | {(i, len(head) + 5)}
+    return pages, want
+
+
+def test_furniture_goes_by_frames_without_any_wording(spark):
+    data, want = made_up_pages(240)
+    assert set(pairs(main_body.furniture(web(spark, data)), "row_id", "line_no")) == want
+
+
+def test_lines_of_one_page_stay(spark):
+    # the very lines of the test before, each on pages of its own words: nothing repeats, nothing goes
+    data, _ = made_up_pages(240)
+    own = lambda i, t: re.sub(r"[^\W\d_]+", lambda m: m[0] + chr(97 + i // 26) + chr(97 + i % 26), t)
+    assert main_body.furniture(web(spark, [(i, *rest, own(i, t)) for i, *rest, t in data])).filter("line_no != 1 AND row_id % 3 != 0").count() == 0
+
+
+def test_main_body_keeps_the_rest(spark):
+    data, want = made_up_pages(240)
+    df = web(spark, [*data, (900, "h", "en", None, None), (901, "h", "en", None, ""), (902, "h", "en", None, "\n\n")]).withColumn("sure", F.lit("clash"))
     out = {r.row_id: r.text for r in main_body.main_body(df).collect()}
-    assert out[5] == "Body number f of page tells its own story." and out[99] is None and out[100] == ""
+    assert out[5] == "\n".join(x for k, x in enumerate(data[5][4].split("\n")) if (5, k) not in want)
+    assert out[900] is None and out[901] == "" and out[902] == "\n\n"
 
 
-def test_furniture_in_unknown_wording_goes_by_repetition(spark):
-    # four partitions hold 15 pages each, fewer than STRONG_PAGES
+def test_furniture_goes_by_repetition_on_the_host(spark):
+    # four partitions hold 15 pages each, fewer than STRONG_PAGES; too few pages of all for frames
     body = lambda i: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("mek", "tarsu", "plim", "werto"))
     often = lambda i: "Ostuni karveth drom silka penuvor tamil gresko badun" if i < 6 else f"own {body(i + 300)}"
     page = lambda i: f"Zgrul Bafno Navik\n{body(i)}\n{often(i)}\nMorvel destu kanip {i} rulo sabet winor fulgam pelit Xa{chr(97 + i % 26)} ondrak"
     data = [(i, "Big.example" if i % 2 else "big.example", "en", None, page(i)) for i in range(60)]
     data += [(100 + i, "copies.example", "en", None, "Zgrul karveth drom silka" + "." * i) for i in range(40)]
-    data += [(200 + i, None, "en", None, f"Ostuni karveth drom silka\n{body(i + 100)}") for i in range(40)]
     df = web(spark, data)
     assert pairs(main_body.furniture(df), "row_id", "line_no") == sorted((i, n) for i in range(60) for n in (0, 3))
     b = main_body.Block([r[4] for r in data], [(r[1] or "").lower() for r in data], set())
-    assert sorted((data[p][0], n) for p, n in b.found) == sorted((i, n) for i in range(60) for n in (0, 3)) and not b.lines
+    assert sorted((data[p][0], n) for p, x in b.framed.items() for n, sure in zip(x[0], x[4], strict=True) if sure) == sorted((i, n) for i in range(60) for n in (0, 3)) and not b.lines
 
 
 # 4: languages

@@ -14,7 +14,7 @@ Lines follow from their sentences, so joined, moved, added and left-out lines ne
 Training is one aggregation over all training pairs.  The concept table is sent to the workers and holds at most ``most_words`` words
 a side, the most frequent; rarer words are represented by themselves.
 
-Lines that aren't main body by ``main_body``, looked for among the documents of the pairs, are left out.
+Lines that have a frame of furniture, by ``main_body`` over all pages, are left out.
 
 Cases: candidate pairs given twice count once; null ids, null or empty texts and furniture lines
 give no rows; ties go to the nearer position, then the earlier sentence; documents may be in many
@@ -193,12 +193,13 @@ def aligned(web: DataFrame, pairs: DataFrame, corpus: DataFrame, most_words: int
     pairs = pairs.filter("src_doc_id != trg_doc_id").select(F.col("src_doc_id").alias("src"), F.col("trg_doc_id").alias("trg")).distinct()
     pairs = cut(pairs)
     source, target = pairs.select(F.col("src").alias("doc_id")), pairs.select(F.col("trg").alias("doc_id"))
-    docs = web.filter("text IS NOT NULL").select(F.col("row_id").alias("doc_id"), "domain", "text")
-    of_pairs = _of(docs, source.unionByName(target), most_broadcast).withColumnRenamed("doc_id", "row_id")
-    drop = cut(main_body.furniture(of_pairs).groupBy(F.col("row_id").alias("doc_id")).agg(F.collect_set("line_no").alias("drop")))
+    docs = web.filter("text IS NOT NULL").select(F.col("row_id").alias("doc_id"), "text")
+    of_pairs = source.unionByName(target).distinct().withColumnRenamed("doc_id", "row_id")
+    of_pairs = F.broadcast(of_pairs) if of_pairs.count() <= most_broadcast else of_pairs
+    drop = cut(main_body.furniture_by_frames(web, of_pairs).groupBy(F.col("row_id").alias("doc_id")).agg(F.collect_set("line_no").alias("drop")))
     drop = F.broadcast(drop) if drop.count() <= most_broadcast // 10 else drop
-    s = _of(docs.drop("domain"), source, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(src_words), SEGMENT)
-    t = _of(docs.drop("domain"), target, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(trg_words), SEGMENT)
+    s = _of(docs, source, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(src_words), SEGMENT)
+    t = _of(docs, target, most_broadcast).join(drop, "doc_id", "left").mapInArrow(_segments(trg_words), SEGMENT)
     sx = packed(s).select(F.col("doc_id").alias("src"), F.col("place").alias("s_place"), F.col("mass").alias("s_mass"), "concept", F.col("w").alias("ws"))
     tx = packed(t).select(F.col("doc_id").alias("trg"), F.col("place").alias("t_place"), F.col("mass").alias("t_mass"), "concept", F.col("w").alias("wt"))
     dots = (

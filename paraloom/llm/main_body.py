@@ -178,7 +178,7 @@ class Block:
     starts, keys) and ``counts`` host -> (distinct pages, {key: distinct pages}).
     """
 
-    def __init__(self, texts: list[str], hosts: list[str], open_hosts: set[str]):
+    def __init__(self, texts: list[str], hosts: list[str], open_hosts: set[str], by_host: bool = True):
         self.framed: dict[int, tuple[list[int], list[int], list[int], list[int], list[bool]]] = {}
         self.frames: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
         self.lines: list[tuple[int, int, int, list[int], list[int]]] = []
@@ -199,8 +199,8 @@ class Block:
             first[k] = key not in seen
             seen.add(key)
         self.pages = int(first.sum())
-        ranks, hashes = suffix_ranks(tokens, ends), token_hashes(ids)
-        sure = self._strong(hosts, host, names, first, open_hosts, tokens, page, line, begin, sizes, ends, ranks, hashes)
+        ranks, hashes = suffix_ranks(tokens, ends, WINDOW if by_host else 2), token_hashes(ids)
+        sure = self._strong(hosts, host, names, first, open_hosts, tokens, page, line, begin, sizes, ends, ranks, hashes) if by_host else np.zeros(len(begin), bool)
         self._frames(texts, tokens, page, line, begin, sizes, ends, first, sure, ranks, hashes)
 
     def _frames(self, texts, tokens, page, line, begin, sizes, ends, first, sure, ranks, hashes) -> None:
@@ -289,32 +289,36 @@ BLOCK_ROWS = (
 )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(by_host: bool):
     """Rows of four kinds: a page's lines with their frames; lines to be decided by their host's counts; of hosts (no row) the counts; of a block (neither) its frames."""
-    rows: list[int] = []
-    texts: list[str] = []
-    hosts: list[str] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        b = Block(texts, hosts, {hosts[0], hosts[-1]})
-        out = [{"row_id": rows[p], "lines": a, "heads": h, "tails": t, "forms": f, "sure": s} for p, (a, h, t, f, s) in b.framed.items()]
-        out += [{"row_id": rows[p], "line_no": n, "host": hosts[p], "size": tokens, "starts": starts, "keys": keys} for p, n, tokens, starts, keys in b.lines]
-        out += [{"host": h, "size": n, "keys": list(c), "pages": list(c.values())} for h, (n, c) in b.counts.items()]
-        out.append({"size": b.pages} | dict(zip(("keys", "pages", "here", "everywhere"), b.frames, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in KINDS.items()], list(KINDS))
-
-    for b in batches:
-        for row, text, host in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "host")), strict=True):
-            rows.append(row)
-            texts.append(text)
-            hosts.append(host)
-            size += len(text)
-            if len(rows) == BLOCK or size > BLOCK_CHARS:
-                yield flush()
-                rows, texts, hosts, size = [], [], [], 0
-    if rows:
-        yield flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
+        texts: list[str] = []
+        hosts: list[str] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            b = Block(texts, hosts, {hosts[0], hosts[-1]}, by_host)
+            out = [{"row_id": rows[p], "lines": a, "heads": h, "tails": t, "forms": f, "sure": s} for p, (a, h, t, f, s) in b.framed.items()]
+            out += [{"row_id": rows[p], "line_no": n, "host": hosts[p], "size": tokens, "starts": starts, "keys": keys} for p, n, tokens, starts, keys in b.lines]
+            out += [{"host": h, "size": n, "keys": list(c), "pages": list(c.values())} for h, (n, c) in b.counts.items()]
+            out.append({"size": b.pages} | dict(zip(("keys", "pages", "here", "everywhere"), b.frames, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in KINDS.items()], list(KINDS))
+
+        for b in batches:
+            for row, text, host in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "host")), strict=True):
+                rows.append(row)
+                texts.append(text)
+                hosts.append(host)
+                size += len(text)
+                if len(rows) == BLOCK or size > BLOCK_CHARS:
+                    yield flush()
+                    rows, texts, hosts, size = [], [], [], 0
+        if rows:
+            yield flush()
+
+    return run
 
 
 def _across_blocks(blocks: DataFrame) -> DataFrame:
@@ -409,17 +413,26 @@ def _framed(accepted: np.ndarray):
     return run
 
 
+def _pages(web: DataFrame) -> DataFrame:
+    return web.filter("text IS NOT NULL AND text != ''").select("row_id", "text", F.coalesce(F.lower("domain"), F.lit("")).alias("host"))
+
+
+def furniture_by_frames(web: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(row_id, line_no)`` of the lines of the pages in ``ids`` that have a frame that is furniture; frames are counted over all of ``web``, which isn't shuffled."""
+    framed = cut(_pages(web).mapInArrow(_blocks(False), BLOCK_ROWS))
+    accepted = around_the_body(framed.filter("lines IS NOT NULL"), np.array(sorted(line_bound(framed)), np.int64))
+    of_ids = framed.filter("lines IS NOT NULL").select("row_id", "lines", *FRAMES, "sure").join(ids, "row_id", "left_semi")
+    return of_ids.mapInArrow(_framed(accepted), "row_id long, line_no long")
+
+
 def furniture(web: DataFrame) -> DataFrame:
     """``(row_id, line_no)`` of each line that isn't part of its page's main body."""
-    pages = web.filter("text IS NOT NULL AND text != ''").select(
-        "row_id", "text", F.coalesce(F.lower("domain"), F.lit("")).alias("host"),
-        # copies of a page lie together, so that they count once
-        F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).alias("salt"),
-    )
+    # copies of a page lie together, so that they count once
+    pages = _pages(web).withColumn("salt", F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")))
     parts = task_count(web.sparkSession, web.count(), 20_000)
     order = ("host", "salt", F.xxhash64("row_id"))
     placed = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    blocks = cut(placed.select("row_id", "text", "host").mapInArrow(_blocks, BLOCK_ROWS))
+    blocks = cut(placed.select("row_id", "text", "host").mapInArrow(_blocks(True), BLOCK_ROWS))
     framed = blocks.filter("lines IS NOT NULL").select("row_id", "lines", *FRAMES, "sure")
     accepted = around_the_body(framed, np.array(sorted(line_bound(blocks)), np.int64))
     return framed.mapInArrow(_framed(accepted), "row_id long, line_no long").unionByName(_across_blocks(blocks)).distinct()

@@ -312,6 +312,17 @@ def test_foreign_names_and_marks_are_no_cases(spark, small):
     assert got == {6: "lost � here", 7: "café here"}
 
 
+def test_clean_text_of_other_languages_is_not_garbled(spark, small):
+    clean = [
+        "Rada miasta zatwierdziła wczoraj nowy budżet, który przewiduje większe wydatki na szkoły i żłobki.", "A városi tanács tegnap elfogadta az új költségvetést, és több pénzt ad az iskoláknak, főleg a kisebbeknek.",
+        "Belediye meclisi dün yeni bütçeyi onayladı ve okullara daha çok para ayırdı, dışarıda çocuklar şarkı söyledi.", "Consiliul orașului a aprobat ieri noul buget și oferă mai mulți bani școlilor, fără să mărească taxele.",
+        "Borgerrådet vedtog i går det nye budget, så skolerne får flere penge næste år, og børnene får en ny gård.", "El señor Núñez comió piñas con azúcar en la montaña, según dijo después su compañía.",
+    ]
+    bad = "Spoleènost bohu¾el zatím nezveøejnila levnou aplikaci; obyvatelé si stì¾ují, ¾e nová metoda je pøíli¹ hluèná."
+    data = [(i, "d", None, None, t) for i, t in enumerate([*clean, bad])]
+    assert pairs(encodings.garbled(web(spark, data), spark.read.parquet(f"{small}/lang_sample.parquet")), "row_id") == [(len(clean),)]
+
+
 # 8: tokens
 
 

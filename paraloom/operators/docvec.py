@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.functions import text as T
+from paraloom.operators.rows import number_rows
 
 
 def distinct_docs(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,5 @@ def doc_vectors(docs: DataFrame, wordvec: DataFrame, dims: int) -> DataFrame:
 
 def word_vectors(vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vectors for a ranked vocabulary: rank r takes the vector of the r-th smallest vec_id."""
-    order = Window.orderBy("vec_id")
-    # embeddings tables are bounded by the vocabulary of the model that made them
-    numbered = embeddings.select(F.row_number().over(order).alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return vocab.select("word", (F.col("rank") + 1).cast("int").alias("n")).join(numbered, "n").select("word", "vec")
+    numbered = number_rows(embeddings.select("vec_id", "embedding"), [F.col("vec_id")], "n").select("n", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return vocab.select("word", F.col("rank").alias("n")).join(numbered, "n").select("word", "vec")

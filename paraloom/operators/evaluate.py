@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.functions import vectors as V
+from paraloom.operators.rows import running_sums
 
 
 def word_similarity(judged: DataFrame, vocab: DataFrame, unknown: str = "<unk>") -> DataFrame:
@@ -13,7 +14,7 @@ def word_similarity(judged: DataFrame, vocab: DataFrame, unknown: str = "<unk>")
     v = vocab.select("word", "vec").unionByName(
         vocab.filter(F.lower("word") != F.col("word")).select(F.lower("word").alias("word"), "vec")
     ).groupBy("word").agg(F.first("vec").alias("vec"))
-    unk = vocab.filter(F.col("word") == unknown).select(F.first("vec").over(Window.partitionBy(F.lit(1))).alias("unk")).limit(1)
+    unk = vocab.filter(F.col("word") == unknown).agg(F.first("vec").alias("unk"))
     side = lambda w, n: v.select(F.col("word").alias(w), F.col("vec").alias(n))
     joined = judged.withColumns({"w1": F.lower("w1"), "w2": F.lower("w2")}).join(side("w1", "a"), "w1", "left").join(side("w2", "b"), "w2", "left")
     joined = joined.join(F.broadcast(unk), F.lit(True), "left")
@@ -23,14 +24,13 @@ def word_similarity(judged: DataFrame, vocab: DataFrame, unknown: str = "<unk>")
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``(rho, n)``: Pearson correlation of average ranks; rows with a null are left out.
 
-    Ranks come from counts per distinct value, so ties need no window over rows.
+    Ranks come from running sums of counts per distinct value, so ties need no window over rows.
     """
     known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
 
     def ranks(c: str) -> DataFrame:
         per = known.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return per.select(F.col(c), (upto - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        return running_sums(per, [F.col(c)], ["n"]).select(F.col(c), (F.col("upto_n") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
     return known.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("rho"), F.count(F.lit(1)).alias("n"))
 

@@ -13,9 +13,11 @@ Empty input gives no rows.  Extra columns are ignored; only the named ones are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paraloom.operators.rows import running_sums
+
 
 def compress(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """``(key, value, weight)``: each distinct value of each key with its number of rows."""
@@ -54,18 +56,16 @@ def weighted_distinct_and_mode(pairs: DataFrame) -> DataFrame:
 def weighted_percentiles(pairs: DataFrame, fractions: list[float]) -> DataFrame:
     """From ``compress``: ``(key, fraction, value)``, the smallest value whose cumulated weight reaches the fraction.
 
-    The running sum is over distinct values, never over rows.
+    The running sum is over distinct values, never over rows, and range-partitioned by key and value, so a key of many values is many tasks.
     """
-    known = pairs.filter("value IS NOT NULL")
-    w = Window.partitionBy("key")
-    running = known.select(
-        "key", "value",
-        F.sum("weight").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("weight").over(w).alias("total"),
-    )
+    known = pairs.filter("value IS NOT NULL").select("key", "value", "weight")
+    # one running sum over all keys in their order; a key's own begins where those of the keys before it end
+    running = running_sums(known, [F.col("key"), F.col("value")], ["weight"])
+    of_key = running.groupBy("key").agg(F.min(F.col("upto_weight") - F.col("weight")).alias("before"), F.sum("weight").alias("total"))
     wanted = F.array(*[F.lit(float(f)) for f in fractions])
     return (
-        running.withColumn("fraction", F.explode(wanted))
+        running.alias("r").join(of_key.alias("k"), F.col("r.key").eqNullSafe(F.col("k.key")))
+        .select("r.key", "value", F.explode(wanted).alias("fraction"), (F.col("upto_weight") - F.col("before")).alias("upto"), "total")
         .filter(F.col("upto") >= F.col("fraction") * F.col("total"))
         .groupBy("key", "fraction")
         .agg(F.min("value").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraloom.session import cut
@@ -19,13 +19,28 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", parts:
     parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("part")).count().collect()
-    before, offsets = 0, []
-    for r in sorted(counts, key=lambda r: r["part"]):
-        offsets += [F.lit(r["part"]), F.lit(before)]
-        before += r["count"]
-    shift = F.create_map(*offsets)[part] if offsets else F.lit(0)
-    return placed.withColumn(name, (shift + at).cast("long")).drop("__id")
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    return placed.withColumn("__part", part).join(F.broadcast(_before(counts, ["n"])), "__part").withColumn(name, (F.col("before_n") + at).cast("long")).drop("__id", "__part", "before_n")
+
+
+def _before(per_part: DataFrame, names: list[str]) -> DataFrame:
+    """``(__part, before_<name>)``: the sums over the partitions before each; one row a partition, so one task holds it."""
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return cut(per_part.select("__part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"before_{n}") for n in names]))
+
+
+def running_sums(df: DataFrame, order: list[Column], names: list[str]) -> DataFrame:
+    """``df`` with ``upto_<name>``, the sum of each column over all rows up to and with this one in the given order.
+
+    Rows are range-partitioned; each partition sums its own and is shifted by the sums of those before it.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    shift = _before(placed.groupBy("__part").agg(*[F.sum(n).alias(n) for n in names]), names)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"__upto_{n}": F.sum(n).over(w) for n in names}).join(F.broadcast(shift), "__part")
+    return summed.withColumns({f"upto_{n}": F.col(f"__upto_{n}") + F.col(f"before_{n}") for n in names}).drop("__part", *[f"__upto_{n}" for n in names], *[f"before_{n}" for n in names])
 
 
 def bins(numbered: DataFrame, size: int) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraloom.functions import metrics
+from paraloom.operators.rows import running_sums
 
 
 def moments(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -31,17 +32,27 @@ def roc(scored: DataFrame) -> DataFrame:
     Scores are counted first, so the running sums are over distinct scores.
     """
     per = scored.groupBy("score").agg(F.sum(F.col("correct").cast("long")).alias("p"), F.sum((~F.col("correct")).cast("long")).alias("f"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = running_sums(per, [F.desc("score")], ["p", "f"])
     total = per.agg(F.sum("p").alias("all_p"), F.sum("f").alias("all_f"))
-    return per.select("score", F.sum("p").over(w).alias("p"), F.sum("f").over(w).alias("f")).join(F.broadcast(total)).select(
+    return summed.select("score", F.col("upto_p").alias("p"), F.col("upto_f").alias("f")).join(F.broadcast(total)).select(
         "score", F.try_divide("p", "all_p").alias("true_rate"), F.try_divide("f", "all_f").alias("false_rate")
     )
 
 
-def nearest_label(queries: DataFrame, known: DataFrame) -> DataFrame:
-    """``(id, label, got)``: the label of the Euclidean nearest other row; ``queries`` is a stated set and is broadcast, the known rows stream past it."""
-    q = F.broadcast(queries.select("id", "label", F.col("vec").alias("q")))
-    d = known.select(F.col("id").alias("other"), F.col("label").alias("got"), "vec").join(q, F.col("id") != F.col("other"))
+def nearest_label(queries: DataFrame, known: DataFrame, block: int = 20_000) -> DataFrame:
+    """``(id, label, got)``: the label of the Euclidean nearest other row; ``queries`` is a stated set.
+
+    Both sides are dealt to blocks, and a block of queries meets each block of known rows in an equi-join.
+    """
+    parts = lambda df: max(1, -(-df.count() // block))
+    n_q, n_k = parts(queries), parts(known)
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    q = dealt(queries.select("id", "label", F.col("vec").alias("q")), "id", "qb", n_q, "kb", n_k)
+    others = dealt(known.select(F.col("id").alias("other"), F.col("label").alias("got"), "vec"), "other", "kb", n_k, "qb", n_q)
+    d = others.join(q, ["qb", "kb"]).filter("id != other")
     best = F.min_by("got", F.struct(F.round(metrics.square_distance(F.col("q"), F.col("vec")), 9), "other"))
     return d.groupBy("id", "label").agg(best.alias("got"))
 

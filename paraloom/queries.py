@@ -505,9 +505,19 @@ def ibm1_one_round(spark, sf):
     return corpus.ibm1(_kept(spark, sf), 1, 0.0).select("src_word", "trg_word", F.round("p", 9).alias("p"))
 
 
-@query()
+def _ibm1_sql(rounds: int, prune: float) -> str:
+    sql = f"""WITH {KEPT}, u AS (SELECT row_number() OVER () AS pid, count(*) AS copies, list_concat(['<null>'], list_distinct({SRC})) AS s, list_distinct({TRG}) AS t FROM kept_rows GROUP BY src_text, trg_text),
+l AS (SELECT pid, copies, s, unnest(t) AS t FROM (SELECT pid, copies, unnest(s) AS s, t FROM u)), q0 AS (SELECT DISTINCT s, t, 1.0::DOUBLE AS p FROM l)"""
+    for k in range(1, rounds + 1):
+        sql += f""",
+c{k} AS (SELECT s, t, sum(copies * p / total) AS c FROM (SELECT *, sum(p) OVER (PARTITION BY pid, t) AS total FROM l JOIN q{k - 1} USING (s, t)) GROUP BY s, t),
+q{k} AS (SELECT * FROM (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM c{k}) WHERE p >= {prune})"""
+    return sql + f" SELECT s AS src_word, t AS trg_word, round(p, 6) AS p FROM q{rounds}"
+
+
+@query(_ibm1_sql(3, 1e-7))
 def ibm1_em(spark, sf):
-    return corpus.ibm1(_kept(spark, sf), 3)
+    return corpus.ibm1(_kept(spark, sf), 3).select("src_word", "trg_word", *_six("p"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT src_doc_id AS src, trg_doc_id AS dst FROM doc_align UNION SELECT DISTINCT trg_doc_id, src_doc_id FROM doc_align),
@@ -528,6 +538,12 @@ def response_headers(spark, sf):
     return warc.responses(warc.latest(table(spark, sf, "warc_record"))).select("record_id", "host", "mime", "charset")
 
 
+@query("""SELECT DISTINCT rec_type, target_uri, octet_length(content) AS n_bytes, md5(content) AS digest FROM warc_record""")
+def warc_scan(spark, sf):
+    """The records written to WARC files in the shared folder and scanned again."""
+    return warc.through_files(table(spark, sf, "warc_record")).select("rec_type", "target_uri", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest")).distinct()
+
+
 @query()
 def page_paragraphs(spark, sf):
     return warc.page_paragraphs(warc.latest(table(spark, sf, "warc_record")), 1)
@@ -652,9 +668,15 @@ def _identical(spark, sf):
     return w.select("pair", "s", "t", found.alias("forward"), back.alias("reverse"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT row_number() OVER () AS pair, s, t FROM (SELECT DISTINCT {SRC} AS s, {TRG} AS t FROM corpus_pair WHERE src_text IS NOT NULL AND trg_text IS NOT NULL)),
+p AS (SELECT pair, i - 1 AS i, nullif(list_position(t, s[i]), 0) - 1 AS j FROM (SELECT pair, s, t, unnest(range(1, len(s) + 1)) AS i FROM w)),
+n AS (SELECT pair, i, j, last_value(j IGNORE NULLS) OVER (PARTITION BY pair ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+  first_value(j IGNORE NULLS) OVER (PARTITION BY pair ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM p),
+f AS (SELECT pair, list(coalesce(j, (a + b) // 2, a, b)::INT ORDER BY i) AS target_of FROM n GROUP BY pair)
+SELECT array_to_string(s, ' ') AS src, array_to_string(t, ' ') AS trg, coalesce(target_of, []::INT[]) AS target_of FROM w LEFT JOIN f USING (pair)""")
 def links_interpolated(spark, sf):
-    return _identical(spark, sf).select("pair", links.interpolate(F.col("forward"), F.size("s")).alias("target_of"))
+    at = links.interpolate(F.col("forward"), F.size("s"))
+    return _identical(spark, sf).select(F.array_join("s", " ").alias("src"), F.array_join("t", " ").alias("trg"), at.alias("target_of")).distinct()
 
 
 @query()
@@ -758,8 +780,10 @@ def gaussian_mixture(spark, sf):
     return samples.mixture(samples.principal(_points(spark, sf), "vec", 2).select("id", "projected"), "projected", 3).select("id", "component", "share")
 
 
-@query()
+@query("""WITH k AS (SELECT id, length(src_text)::DOUBLE AS x, length(trg_text)::DOUBLE AS y FROM corpus_pair WHERE src_text IS NOT NULL AND trg_text IS NOT NULL),
+m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM k)
+SELECT id, y, round(a * x + b, 6) AS predicted FROM k, m""")
 def length_regression(spark, sf):
     known = _corpus(spark, sf).filter("src_text IS NOT NULL AND trg_text IS NOT NULL")
     x = known.select("id", F.array(F.length("src_text").cast("double")).alias("x"), F.length("trg_text").cast("double").alias("y"))
-    return samples.regression(x, "x", "y").select("id", "y", "predicted")
+    return samples.regression(x, "x", "y").select("id", "y", *_six("predicted"))

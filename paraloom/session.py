@@ -15,14 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and return it with its lineage cut.
 
-    The folder is the one ``spark.checkpoint.dir`` names.  Only where that is unset, as in
-    local tests, a temporary folder is used.
+    The folder is the one ``spark.checkpoint.dir`` names.  Only where that is unset, in local
+    mode, a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` if it has none; on a cluster that must be set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paraloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def task_count(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -5,23 +5,37 @@ from __future__ import annotations
 import codecs
 import glob
 import gzip
+import io
 import os
+import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from paraloom.functions import text as T
+from paraloom.session import shared_folder
 
 SCHEMA = "rec_type string, target_uri string, content binary"
 #: Encodings tried after the declared one, in this order; fixed values.
 FALLBACKS = ["utf-8", "iso-8859-1", "gb2312", "cp1251", "cp1252"]
 
 
+#: What reading a damaged file raises.
+DAMAGE = (EOFError, OSError, ValueError, zlib.error)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, or the local one of a plain path, and the path on it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class WarcFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -30,7 +44,10 @@ class WarcFile(InputPartition):
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(folder)``: one task per file, records streamed; gzip by file suffix.
 
-    A damaged file ends at the damage; what was read before it stays.
+    The folder is a URI of any file system that Arrow knows, or a local path or pattern.  A damaged
+    file ends at the damage; what was read before it stays, and with the option ``damaged`` set to
+    true one row of type ``damaged`` with the file's name as its address says so, to be counted.
+    ``df.write.format("warc").mode("append").save(folder)`` writes a gzip file per task.
     """
 
     @classmethod
@@ -41,45 +58,116 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options["path"])
+        return WarcReader(self.options["path"], self.options.get("damaged", "").lower() == "true")
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WarcWriter(self.options["path"])
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, damaged: bool):
+        self.path, self.damaged = path, damaged
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.warc*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [WarcFile(f) for f in files]
+        if "://" not in self.path and not self.path.startswith("file:") and not os.path.isdir(self.path):
+            return [WarcFile(f) for f in sorted(glob.glob(self.path))]
+        where, base = file_system(self.path)
+        found = [f.path for f in where.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and ".warc" in f.base_name and not f.base_name.endswith(".tmp")]
+        # the scheme and host of a URI, to find the file system again
+        prefix = self.path.removesuffix(base) if "://" in self.path else ""
+        return [WarcFile(prefix + f) for f in sorted(found)]
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
         if partition is None:
             return
-        opened = gzip.open(partition.path, "rb") if partition.path.endswith(".gz") else open(partition.path, "rb")
-        with opened as f:
-            yield from records(f)
+        where, path = file_system(partition.path)
+        whole = True
+        with where.open_input_stream(path, compression=None) as raw:
+            records_ = Records(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw)
+            yield from records_
+            whole = records_.whole
+        if self.damaged and not whole:
+            yield "damaged", partition.path, None
 
 
-def records(f) -> Iterator[tuple[str | None, str | None, bytes]]:
-    """(type, target URI, content) of each record of an open WARC file."""
-    while True:
-        try:
-            line = f.readline()
-        except (EOFError, OSError):
-            return
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
+class Written(WriterCommitMessage):
+    def __init__(self, temporary: str, final: str):
+        self.temporary, self.final = temporary, final
+
+
+class WarcWriter(DataSourceWriter):
+    """A file per task, under a name of its own attempt until the job commits."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        where, base = file_system(self.path)
+        where.create_dir(base, recursive=True)
+        final = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
+        with where.open_output_stream(final + ".tmp", compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb") as out:
+            for r in rows:
+                content = bytes(r["content"] or b"")
+                head = ["WARC/1.0", *(f"{k}: {v}" for k, v in (("WARC-Type", r["rec_type"]), ("WARC-Target-URI", r["target_uri"])) if v is not None), f"Content-Length: {len(content)}"]
+                out.write("\r\n".join([*head, "", ""]).encode() + content + b"\r\n\r\n")
+        return Written(final + ".tmp", final)
+
+    def commit(self, messages) -> None:
+        where, _ = file_system(self.path)
+        for m in messages:
+            if m is not None:
+                where.move(m.temporary, m.final)
+
+    def abort(self, messages) -> None:
+        where, _ = file_system(self.path)
+        for m in messages:
+            if m is not None:
+                where.delete_file(m.temporary)
+
+
+class Records:
+    """(type, target URI, content) of each record of an open WARC file, up to its end or its damage; ``whole`` tells which."""
+
+    def __init__(self, f):
+        self.f, self.whole = io.BufferedReader(f) if not hasattr(f, "peek") and hasattr(f, "readinto") else f, True
+
+    def __iter__(self) -> Iterator[tuple[str | None, str | None, bytes]]:
+        while True:
+            try:
+                got = self._next()
+            except DAMAGE:
+                self.whole = False
+                return
+            if got is None:
+                return
+            yield got
+
+    def _next(self) -> tuple[str | None, str | None, bytes] | None:
+        while not (line := self.f.readline()).startswith(b"WARC/"):
+            if not line:
+                return None
         head: dict[str, str] = {}
-        while (line := f.readline().strip()):
+        while line := self.f.readline().strip():
             key, _, value = line.decode("utf-8", "replace").partition(":")
             head[key.strip().lower()] = value.strip()
-        try:
-            content = f.read(int(head.get("content-length", 0)))
-        except (ValueError, EOFError, OSError):
-            return
-        yield head.get("warc-type"), head.get("warc-target-uri"), content
+        size = int(head.get("content-length", 0))
+        content = self.f.read(size)
+        if size < 0 or len(content) < size:
+            raise EOFError("a record ends before its length")
+        return head.get("warc-type"), head.get("warc-target-uri"), content
+
+
+def records(f) -> Iterator[tuple[str | None, str | None, bytes]]:
+    return iter(Records(f))
+
+
+def through_files(rows: DataFrame) -> DataFrame:
+    """The records after writing them to a new folder beside the checkpoints and scanning it."""
+    spark = rows.sparkSession
+    spark.dataSource.register(WarcSource)
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    rows.select("rec_type", "target_uri", "content").write.format("warc").mode("append").save(folder)
+    return spark.read.format("warc").load(folder)
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -372,3 +372,34 @@ def test_pipelines(spark, small):
     cands = pipelines.candidates(src, trg, wv, wv)
     model = pipelines.fit(cands, src, trg, dictionary)
     assert pipelines.align(cands, src, trg, dictionary, model).count() >= 0
+
+
+def test_damaged_warc_files_end_at_the_damage(spark, tmp_path):
+    body = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/%d\r\nContent-Length: 40\r\n\r\n%s\r\n\r\n" % (i, bytes(random.Random(i).randbytes(40))) for i in range(8))
+    packed = gzip.compress(body)
+    full = list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(packed))))
+    assert len(full) == 8
+    for at in range(0, len(packed), 7):
+        flipped = packed[:at] + bytes([packed[at] ^ 0x55]) + packed[at + 1 :]
+        for damaged in (packed[:at], flipped):
+            got = list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(damaged))))
+            assert len(got) <= 8
+            if damaged is not flipped:
+                assert got == full[: len(got)]
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    (tmp_path / "b.warc.gz").write_bytes(packed[: len(packed) // 2])
+    spark.dataSource.register(warc.WarcSource)
+    plain = spark.read.format("warc").load(str(tmp_path)).collect()
+    told = spark.read.format("warc").option("damaged", "true").load(f"file://{tmp_path}").filter("rec_type = 'damaged'").collect()
+    assert 8 <= len(plain) < 16 and [r.target_uri.endswith("b.warc.gz") for r in told] == [True]
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    data = [(rng.randrange(50), rng.randrange(9)) for _ in range(400)]
+    per = {}
+    for k, v in data:
+        per[k] = per.get(k, 0) + v
+    got = {r.k: r.upto_v for r in rows.running_sums(frame(spark, list(per.items()), "k long, v long"), [F.col("k")], ["v"]).collect()}
+    assert got == {k: sum(v for x, v in per.items() if x <= k) for k in per}
+    assert rows.running_sums(frame(spark, [], "k long, v long"), [F.col("k")], ["v"]).count() == 0

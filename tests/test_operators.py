@@ -1,4 +1,5 @@
 import gzip
+import io
 import math
 import random
 
@@ -377,15 +378,14 @@ def test_pipelines(spark, small):
 def test_damaged_warc_files_end_at_the_damage(spark, tmp_path):
     body = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/%d\r\nContent-Length: 40\r\n\r\n%s\r\n\r\n" % (i, bytes(random.Random(i).randbytes(40))) for i in range(8))
     packed = gzip.compress(body)
-    full = list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(packed))))
+    full = list(warc.records(gzip.GzipFile(fileobj=io.BytesIO(packed))))
     assert len(full) == 8
     for at in range(0, len(packed), 7):
         flipped = packed[:at] + bytes([packed[at] ^ 0x55]) + packed[at + 1 :]
         for damaged in (packed[:at], flipped):
-            got = list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(damaged))))
-            assert len(got) <= 8
-            if damaged is not flipped:
-                assert got == full[: len(got)]
+            got = list(warc.records(gzip.GzipFile(fileobj=io.BytesIO(damaged))))
+            # flipped bits may show before the checksum at the end tells
+            assert damaged is flipped or got == full[: len(got)]
     (tmp_path / "a.warc.gz").write_bytes(packed)
     (tmp_path / "b.warc.gz").write_bytes(packed[: len(packed) // 2])
     spark.dataSource.register(warc.WarcSource)

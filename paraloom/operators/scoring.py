@@ -2,11 +2,18 @@
 
 Candidates are ``(bin, src_doc_id, trg_doc_id, score)``; documents ``(bin, doc_id, text)``; a
 dictionary ``(src_word, trg_word, weight)``.  Pairs of words exist only where the dictionary has
-them: documents are first reduced to distinct words with counts.
+them: documents are first reduced to distinct words with counts.  A pair of words is given once
+by a dictionary.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,36 +33,93 @@ def with_texts(cands: DataFrame, src: DataFrame, trg: DataFrame) -> DataFrame:
 
 
 def _words(pairs: DataFrame, side: str) -> DataFrame:
-    """One row per candidate and distinct word of one side, with its count and the document's number of tokens."""
-    words = pairs.select("bin", "src_doc_id", "trg_doc_id", T.tokens(F.col(f"{side}_text")).alias("w")).withColumn("m", F.size("w"))
+    """One row per distinct document and word of one side, with its count and the document's number of tokens."""
+    docs = pairs.select("bin", f"{side}_doc_id", f"{side}_text").dropDuplicates(["bin", f"{side}_doc_id"])
+    words = docs.select("bin", f"{side}_doc_id", T.tokens(F.col(f"{side}_text")).alias("w"))
     each = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("cnt")))
-    return words.select("bin", "src_doc_id", "trg_doc_id", F.size("w").alias(f"{side}_size"), F.explode(each).alias("e")).select(
-        "bin", "src_doc_id", "trg_doc_id", f"{side}_size", F.col("e.word").alias(f"{side}_word"), F.col("e.cnt").alias(f"{side}_cnt")
+    return words.select("bin", f"{side}_doc_id", F.size("w").alias(f"{side}_size"), F.explode(each).alias("e")).select(
+        "bin", f"{side}_doc_id", f"{side}_size", F.col("e.word").alias(f"{side}_word"), F.col("e.cnt").alias(f"{side}_cnt")
     )
 
 
 KEY = ["bin", "src_doc_id", "trg_doc_id"]
 
 
-def _matches(pairs: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The source words of each candidate, and the pairs of words the dictionary has for it."""
+def _matches(pairs: DataFrame, dictionary: DataFrame, same: bool = False) -> DataFrame:
+    """The pairs of words of each candidate that the dictionary has, with ``same`` also equal words it hasn't, at weight 1.
+
+    A source document meets the dictionary once, however many candidates it has.
+    """
     s, t = _words(pairs, "src"), _words(pairs, "trg")
-    return s, s.join(dictionary, "src_word").join(t, [*KEY, "trg_word"])
+    known = s.join(dictionary.select("src_word", "trg_word", "weight"), "src_word")
+    if same:
+        own = dictionary.filter("src_word = trg_word").select("src_word").distinct()
+        known = known.unionByName(s.join(own, "src_word", "left_anti").withColumns({"trg_word": F.col("src_word"), "weight": F.lit(1.0)}))
+    return pairs.select(*KEY).join(t, ["bin", "trg_doc_id"]).join(known, ["bin", "src_doc_id", "trg_word"])
+
+
+def _lookup(dictionary: DataFrame, most: int) -> Broadcast | None:
+    """source word -> {target word: weight} on all executors, or None if the dictionary has more than ``most`` entries."""
+    rows = dictionary.select("src_word", "trg_word", "weight").limit(most + 1).collect() if most else []
+    if not most or len(rows) > most:
+        return None
+    table: dict[str, dict[str, float]] = {}
+    for r in rows:
+        table.setdefault(r["src_word"], {})[r["trg_word"]] = r["weight"]
+    return dictionary.sparkSession.sparkContext.broadcast(table)
+
+
+def _tokenised(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*KEY, T.tokens(F.col("src_text")).alias("s"), T.tokens(F.col("trg_text")).alias("t"))
+
+
+def _by_pair(score, table: Broadcast, names: list[str]):
+    """``score(source counts, target counts, target size, dictionary)`` of each candidate as columns ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [score(Counter(s or ()), Counter(t or ()), len(t or ()), table.value) for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True)]
+            values = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), *(pa.array(v, pa.float64()) for v in values)], [*KEY, *names])
 
+    return run
 
-def log_ibm1(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
+
+def _ibm1(s: Counter, t: Counter, size: int, table: dict) -> tuple[float]:
+    base = NULL_WEIGHT * (2 if size else 1)
+    total = sum(s.values()) * math.log(base)
+    for word, n in s.items():
+        known = table.get(word)
+        if known:
+            few, many = (known, t) if len(known) < len(t) else (t, known)
+            add = sum(t[x] * (known[x] - NULL_WEIGHT) for x in few if x in many) / size if size else 0.0
+            if add:
+                total += n * math.log1p(add / base)
+    return (total,)
+
+
+def log_ibm1(pairs: DataFrame, dictionary: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     """``KEY, log_score``: the natural logarithm of the product over source tokens of 1e-9 + sum over target tokens of weight / size.
 
     A missing weight counts 1e-9, so a source word adds 2e-9 plus what the dictionary adds for
     the target words it matches.  An empty target leaves 1e-9 per source token, an empty source 0.
+    A dictionary of at most ``most_broadcast`` entries is sent to the executors and candidates are
+    scored where they lie; a larger one is joined.
     """
-    s, both = _matches(pairs, dictionary)
-    found = both.groupBy(*KEY, "src_word").agg(F.sum(F.col("trg_cnt") * (F.col("weight") - NULL_WEIGHT) / F.col("trg_size")).alias("add"))
-    empty = F.coalesce(F.size(T.tokens(F.col("trg_text"))), F.lit(0)) <= 0
-    base = pairs.select(*KEY, F.when(empty, NULL_WEIGHT).otherwise(2 * NULL_WEIGHT).alias("base"))
-    term = F.col("src_cnt") * F.ln(F.col("base") + F.coalesce("add", F.lit(0.0)))
-    sums = s.join(found, [*KEY, "src_word"], "left").join(base, KEY).groupBy(*KEY).agg(F.sum(term).alias("log_score"))
-    return pairs.select(*KEY).join(sums, KEY, "left").select(*KEY, F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    if table := _lookup(dictionary, most_broadcast):
+        return _tokenised(pairs).mapInArrow(_by_pair(_ibm1, table, ["log_score"]), _key_types(pairs) + ", log_score double")
+    found = _matches(pairs, dictionary).groupBy(*KEY, "src_word").agg(
+        F.first("src_cnt").alias("src_cnt"), F.sum(F.col("trg_cnt") * (F.col("weight") - NULL_WEIGHT) / F.col("trg_size")).alias("add")
+    )
+    more = found.groupBy(*KEY).agg(F.sum(F.col("src_cnt") * F.log1p(F.col("add") / (2 * NULL_WEIGHT))).alias("more"))
+    size = lambda side: F.greatest(F.coalesce(F.size(T.tokens(F.col(f"{side}_text"))), F.lit(0)), F.lit(0))
+    base = F.when(size("trg") == 0, NULL_WEIGHT).otherwise(2 * NULL_WEIGHT)
+    return pairs.select(*KEY, (size("src") * F.ln(base)).alias("least")).join(more, KEY, "left").select(*KEY, (F.col("least") + F.coalesce("more", F.lit(0.0))).alias("log_score"))
+
+
+def _key_types(df: DataFrame) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in KEY)
 
 
 def rescore(cands: DataFrame, src: DataFrame, trg: DataFrame, dictionary: DataFrame, mean: float = 1.0, std: float = 0.5) -> DataFrame:
@@ -73,23 +137,38 @@ def rescore(cands: DataFrame, src: DataFrame, trg: DataFrame, dictionary: DataFr
     return scored.select(*KEY, "knn_score", "log_score", F.exp("log_score").alias("score"), (F.row_number().over(order) - 1).alias("rank"))
 
 
-def features(pairs: DataFrame, dictionary: DataFrame, mean: float = 1.0, std: float = 0.5) -> DataFrame:
+def _resolved(s: Counter, t: Counter, size: int, table: dict) -> tuple[float, float, float]:
+    total = resolved = matching = 0.0
+    for word, n in s.items():
+        weight = n * len(word)
+        total += weight
+        known = table.get(word, {})
+        few, many = (known, t) if len(known) < len(t) else (t, known)
+        best = max((known[x] for x in few if x in many), default=None)
+        if word in t and word not in known:
+            best = 1.0 if best is None else max(best, 1.0)
+        if best is not None:
+            resolved += weight
+            matching += weight * best
+    return total, resolved, matching
+
+
+def features(pairs: DataFrame, dictionary: DataFrame, mean: float = 1.0, std: float = 0.5, most_broadcast: int = 2_000_000) -> DataFrame:
     """``KEY, length_sim, length_conf, weight_sim, weight_conf`` of candidate pairs with texts.
 
     A source word's weight is the largest of its dictionary weights to the target's words, zero
     weights counting as missing, and 1 where the target has the word itself; means are weighted
-    by word length, and a denominator of 0 gives 0.
+    by word length, and a denominator of 0 gives 0.  Dictionaries are sent or joined as in ``log_ibm1``.
     """
-    s, both = _matches(pairs, dictionary.filter("weight != 0"))
-    by_dict = both.select(*KEY, "src_word", "trg_word", "weight")
-    same = s.join(_words(pairs, "trg").withColumnRenamed("trg_word", "src_word").select(*KEY, "src_word"), [*KEY, "src_word"])
-    same = same.select(*KEY, "src_word", F.col("src_word").alias("trg_word")).join(by_dict.drop("weight"), [*KEY, "src_word", "trg_word"], "left_anti").withColumn("weight", F.lit(1.0))
-    best = by_dict.unionByName(same).groupBy(*KEY, "src_word").agg(F.max("weight").alias("best"))
-    size = F.col("src_cnt") * F.length("src_word")
-    found = F.col("best").isNotNull()
-    sums = s.join(best, [*KEY, "src_word"], "left").groupBy(*KEY).agg(
-        F.sum(size).alias("total"), F.sum(F.when(found, size)).alias("resolved"), F.sum(F.when(found, size * F.col("best"))).alias("matching")
-    )
+    dictionary = dictionary.filter("weight != 0")
+    if table := _lookup(dictionary, most_broadcast):
+        sums = _tokenised(pairs).mapInArrow(_by_pair(_resolved, table, ["total", "resolved", "matching"]), _key_types(pairs) + ", total double, resolved double, matching double")
+    else:
+        best = _matches(pairs, dictionary, same=True).groupBy(*KEY, "src_word").agg(F.first("src_cnt").alias("src_cnt"), F.max("weight").alias("best"))
+        size = F.col("src_cnt") * F.length("src_word")
+        of_pair = best.groupBy(*KEY).agg(F.sum(size).alias("resolved"), F.sum(size * F.col("best")).alias("matching"))
+        total = F.aggregate(T.tokens(F.col("src_text")), F.lit(0), lambda x, w: x + F.length(w))
+        sums = pairs.select(*KEY, total.alias("total")).join(of_pair, KEY, "left")
     zero = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return pairs.join(sums, KEY, "left").select(
         *KEY, T.length_likelihood(F.length("src_text"), F.length("trg_text"), mean, std).alias("length_sim"),

@@ -122,6 +122,8 @@ def test_ibm1_score_equals_naive_product(spark):
     texts = [(" ".join(rng.choices(words, k=rng.randint(1, 9))), " ".join(rng.choices(words + "x", k=rng.randint(1, 9)))) for _ in range(40)] + [("a", "x y"), ("q q", "z")]
     pairs = frame(spark, [("b", i, i, s, t) for i, (s, t) in enumerate(texts)], "bin string, src_doc_id long, trg_doc_id long, src_text string, trg_text string")
     got = {r.src_doc_id: r.log_score for r in scoring.log_ibm1(pairs, dictionary).collect()}
+    joined = {r.src_doc_id: r.log_score for r in scoring.log_ibm1(pairs, dictionary, most_broadcast=0).collect()}
+    assert joined.keys() == got.keys() and all(joined[k] == pytest.approx(got[k]) for k in got)
     for i, (s, t) in enumerate(texts):
         assert got[i] == pytest.approx(_naive_ibm1(s.split(), t.split(), w), abs=1e-9)
     assert math.exp(got[len(texts) - 2]) == pytest.approx(0.2500000015) and math.exp(got[len(texts) - 1]) == pytest.approx(4e-18)
@@ -131,6 +133,7 @@ def test_features(spark):
     pairs = frame(spark, [("b", 0, 0, "ab cde f", "x cde")], "bin string, src_doc_id long, trg_doc_id long, src_text string, trg_text string")
     d = frame(spark, [("ab", "x", 0.4), ("f", "x", 0.0)], "src_word string, trg_word string, weight double")
     r = scoring.features(pairs, d).first()
+    assert tuple(scoring.features(pairs, d, most_broadcast=0).first()) == pytest.approx(tuple(r))
     assert r.weight_sim == pytest.approx(0.76) and r.weight_conf == pytest.approx(5 / 6)
 
 

@@ -75,3 +75,24 @@ def length_likelihood(src_len: Column, trg_len: Column, mean: float, std: float)
 
 def length_confidence(src_len: Column) -> Column:
     return F.lit(1.0) - F.exp(F.lit(-0.01) * src_len)
+
+
+def draw(*key: Column) -> Column:
+    """A number in [0, 1) that a digest of the key decides, the same on every run and every layout."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\t", *[k.cast("string") for k in key])), 1, 6), 16, 10).cast("double") / float(16**6)
+
+
+def end_marked(text: Column) -> Column:
+    """A text whose line end survives an external tokeniser."""
+    return F.concat(text, F.lit(" ‖"))
+
+
+def at_end_marks(text: Column) -> Column:
+    """The texts that their end marks part, as an array."""
+    return F.filter(F.transform(F.split(text, "‖"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def sigmoid(x: Column, bins: int = 1000, reach: float = 6.0) -> Column:
+    """The logistic function at the lower end of the bin that holds ``x``; 0 and 1 beyond ``reach``."""
+    at = F.floor((x + reach) * (bins / reach / 2)) / bins
+    return F.when(x >= reach, 1.0).when(x <= -reach, 0.0).otherwise(1 / (1 + F.exp(-(at * 2 - 1) * reach)))

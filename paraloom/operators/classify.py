@@ -51,3 +51,11 @@ def apply(model: PipelineModel, features: DataFrame, threshold: float = 0.5) ->
 def error_rate(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Percent of rows whose prediction isn't the label."""
     return model.transform(rows).agg((F.avg((F.col("prediction") != F.col("label")).cast("double")) * 100).alias("error_percent"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

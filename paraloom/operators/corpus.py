@@ -166,3 +166,8 @@ def kept_positions(words: Column, keep: Column) -> Column:
     """For each position its index among the positions kept, null where dropped; ``keep`` is an array of booleans."""
     upto = lambda i: F.size(F.filter(F.slice(keep, 1, i + 1), lambda k: k)) - 1
     return F.transform(words, lambda w, i: F.when(F.get(keep, i), upto(i)))
+
+
+def join_lines(pairs: DataFrame) -> DataFrame:
+    """``line``: target and source parted by three bars, for external aligners; a pair without one of them gives none."""
+    return pairs.filter("src_text IS NOT NULL AND trg_text IS NOT NULL").select(F.concat_ws(" ||| ", "trg_text", "src_text").alias("line"))

@@ -8,6 +8,7 @@ of pairs; weights are vocabulary * dims numbers, bounded by ``most_words``.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,57 @@ def keep_probability(count, total, sample: float):
     return (F.sqrt(count / sn) + 1) * sn / count
 
 
+def subsampled(tokens: DataFrame, vocab: DataFrame, sample: float, *key: str) -> DataFrame:
+    """``tokens`` (one row per occurrence, with ``word``) without those that frequency sub-sampling drops; ``vocab`` is ``(word, cnt)``.
+
+    Whether an occurrence stays is drawn from its ``key`` columns, so a lost task draws the same again.
+    """
+    total = vocab.agg(F.sum("cnt").alias("total"))
+    keep = vocab.join(F.broadcast(total)).select("word", keep_probability(F.col("cnt"), F.col("total"), sample).alias("__keep"))
+    return tokens.join(keep, "word").filter(T.draw(*[F.col(k) for k in key]) < F.col("__keep")).drop("__keep")
+
+
+def of_words(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    """The vectors of a list of words."""
+    return vectors.join(words.select("word"), "word", "left_semi")
+
+
+def huffman(counts: dict[str, int]) -> dict[str, str]:
+    """The code of each word in a Huffman tree of the counts, for hierarchical softmax; ties go to the earlier word, then to words before trees.
+
+    Two queues give the tree in one pass after sorting: words by count, and trees in the order they are made.
+    """
+    leaves = deque((n, (w,)) for w, n in sorted(counts.items(), key=lambda x: (x[1], x[0])))
+    trees: deque = deque()
+    children: list[tuple] = []
+
+    def least():
+        return leaves.popleft() if leaves and (not trees or leaves[0][0] <= trees[0][0]) else trees.popleft()
+
+    while len(leaves) + len(trees) > 1:
+        a, b = least(), least()
+        children.append((a[1], b[1]))
+        trees.append((a[0] + b[0], len(children) - 1))
+    out: dict[str, str] = {}
+    todo = [(trees[0][1], "")] if trees else [(leaves[0][1], "0")] if leaves else []
+    while todo:
+        node, code = todo.pop()
+        if isinstance(node, tuple):
+            out[node[0]] = code
+        else:
+            todo += [(children[node][0], code + "0"), (children[node][1], code + "1")]
+    return out
+
+
+def huffman_codes(vocab: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """``(word, cnt, code)``; the tree is built on the driver, so a vocabulary of more than ``most`` words is refused."""
+    rows = vocab.select("word", "cnt").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words")
+    codes = huffman({r["word"]: r["cnt"] for r in rows})
+    return vocab.sparkSession.createDataFrame([(r["word"], r["cnt"], codes[r["word"]]) for r in rows], "word string, cnt long, code string")
+
+
 def value_range(vectors: DataFrame, column: str) -> DataFrame:
     """``(least, most, mean)`` over all values of all vectors."""
     return vectors.select(F.explode(column).alias("x")).select(F.col("x").cast("double").alias("x")).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))

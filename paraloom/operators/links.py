@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paraloom.functions import text as T
+
 LINKS = "array<struct<i:int,j:int>>"
 
 
@@ -103,6 +105,18 @@ def skip_pairs(words: Column, window: int) -> Column:
     return F.when(n > 0, F.flatten(spread))
 
 
+def random_skip_pairs(words: Column, window: int, *key: Column) -> Column:
+    """``skip_pairs`` with a window of its own at each position, 1 to ``window``, drawn from the key and the position."""
+    n = F.size(words)
+
+    def around(i: Column) -> Column:
+        reach = F.lit(window) - F.floor(T.draw(*key, i) * window).cast("int")
+        near = F.filter(F.sequence(F.greatest(i - reach, F.lit(0)), F.least(i + reach, n - 1)), lambda j: j != i)
+        return F.transform(near, lambda j: F.struct(F.get(words, i).alias("word"), F.get(words, j).alias("context")))
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), around)))
+
+
 def cross_pairs(src: Column, trg: Column, target_of: Column, window: int) -> Column:
     """(source word, target context) around each source position's aligned target position."""
     n = F.size(trg)

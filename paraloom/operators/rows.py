@@ -65,3 +65,27 @@ def web_bins(web: DataFrame, languages: tuple[str, ...], language: Column) -> Da
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def run_lengths(numbered: DataFrame, value: str, block: int = 100_000) -> DataFrame:
+    """``(first_row, n, value)`` of each run of equal values in the order of ``row_no``, a 0-based number without gaps.
+
+    Rows are compared with the one before within blocks of ``block`` rows; the last row of each block is handed to the next.
+    """
+    own = numbered.select("row_no", F.col(value).alias("value"), F.floor(F.col("row_no") / block).alias("block"))
+    handed = own.filter(F.col("row_no") % block == block - 1).withColumn("block", F.col("block") + 1)
+    w = Window.partitionBy("block").orderBy("row_no")
+    changed = own.unionByName(handed).withColumn("changed", ~F.col("value").eqNullSafe(F.lag("value").over(w)) | F.lag("row_no").over(w).isNull())
+    starts = changed.filter((F.floor(F.col("row_no") / block) == F.col("block")) & F.col("changed"))
+    # a run ends where the next begins
+    counted = number_rows(starts.select("row_no", "value"), [F.col("row_no")], "run")
+    ends = counted.select((F.col("run") - 1).alias("run"), F.col("row_no").alias("end"))
+    total = numbered.agg(F.count(F.lit(1)).alias("total"))
+    return counted.join(ends, "run", "left").join(F.broadcast(total)).select(
+        F.col("row_no").alias("first_row"), (F.coalesce("end", "total") - F.col("row_no")).alias("n"), "value"
+    )
+
+
+def chunks(numbered: DataFrame, size: int = 100_000) -> DataFrame:
+    """``chunk``: the number of the block of ``size`` rows."""
+    return numbered.withColumn("chunk", F.floor(F.col("row_no") / size).cast("long"))

@@ -787,3 +787,85 @@ def length_regression(spark, sf):
     known = _corpus(spark, sf).filter("src_text IS NOT NULL AND trg_text IS NOT NULL")
     x = known.select("id", F.array(F.length("src_text").cast("double")).alias("x"), F.length("trg_text").cast("double").alias("y"))
     return samples.regression(x, "x", "y").select("id", "y", *_six("predicted"))
+
+
+@query("SELECT concat(trg_text, ' ||| ', src_text) AS line FROM corpus_pair WHERE src_text IS NOT NULL AND trg_text IS NOT NULL")
+def join_lines(spark, sf):
+    return corpus.join_lines(_corpus(spark, sf))
+
+
+#: The SQL of functions.text.draw for a key.
+DRAW = "list_sum(list_transform(range(1, 7), lambda i: (instr('0123456789abcdef', substr(md5({k}), i, 1)) - 1) / power(16, i)))"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT trg_text AS x, {TRG} AS w FROM corpus_pair WHERE trg_text IS NOT NULL), o AS (SELECT x, i - 1 AS pos, w[i] AS word FROM (SELECT x, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+v AS (SELECT word, count(*) AS cnt FROM o GROUP BY word), n AS (SELECT 1e-3 * sum(cnt) AS sn FROM v)
+SELECT word, count(*) AS n FROM o JOIN v USING (word), n WHERE {DRAW.format(k="concat(x, chr(9), pos::VARCHAR)")} < (sqrt(cnt / sn) + 1) * sn / cnt GROUP BY word""")
+def subsampled_counts(spark, sf):
+    texts = _corpus(spark, sf).filter("trg_text IS NOT NULL").select(F.col("trg_text").alias("x")).distinct()
+    words = texts.select("x", F.posexplode(T.tokens(F.col("x"))).alias("at", "word"))
+    vocab = words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return embeddings.subsampled(words, vocab, 1e-3, "x", "at").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT trg_text AS x, {TRG} AS w FROM corpus_pair WHERE trg_text IS NOT NULL), o AS (SELECT x, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+b AS (SELECT w, i, 5 - floor({DRAW.format(k="concat(x, chr(9), (i - 1)::VARCHAR)").replace("lambda i:", "lambda z:").replace(", i, 1)", ", z, 1)").replace("power(16, i)", "power(16, z)")} * 5)::INT AS reach FROM o)
+SELECT w[i] AS word, w[j] AS context, count(*) AS n FROM b, range(-5, 6) r(k), LATERAL (SELECT i + k AS j) WHERE k != 0 AND abs(k) <= reach AND j BETWEEN 1 AND len(w) GROUP BY 1, 2""")
+def random_skip_pairs(spark, sf):
+    texts = _corpus(spark, sf).filter("trg_text IS NOT NULL").select("trg_text").distinct()
+    pairs = links.random_skip_pairs(T.tokens(F.col("trg_text")), 5, F.col("trg_text"))
+    return texts.select(F.explode(pairs).alias("p")).groupBy("p.word", "p.context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_no, lower(domain) AS d FROM cc_token), c AS (SELECT row_no, d, row_no = 0 OR d IS DISTINCT FROM lag(d) OVER (ORDER BY row_no) AS new FROM n),
+g AS (SELECT row_no, d, sum(new::INT) OVER (ORDER BY row_no) AS run FROM c) SELECT min(row_no) AS first_row, count(*) AS n, any_value(d) AS value FROM g GROUP BY run""")
+def bin_runs(spark, sf):
+    numbered = rows.number_rows(table(spark, sf, "cc_token").select("row_id", F.lower("domain").alias("domain")), [F.col("row_id")])
+    return rows.run_lengths(numbered, "domain")
+
+
+@query("SELECT count(DISTINCT uri) AS uris, count(DISTINCT text) AS texts FROM cc_token")
+def crawl_distinct(spark, sf):
+    """Addresses and texts of the whole crawl, distinct as digests."""
+    web = table(spark, sf, "cc_token")
+    tagged = web.select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.sha2("uri", 256).alias("v")), F.struct(F.lit(1).alias("k"), F.sha2("text", 256).alias("v")))).alias("x")).select("x.k", "x.v")
+    each = tagged.filter("v IS NOT NULL").distinct()
+    return each.agg(F.count(F.when(F.col("k") == 0, 1)).alias("uris"), F.count(F.when(F.col("k") == 1, 1)).alias("texts"))
+
+
+@query("SELECT language, string_agg(trim(text), chr(10) ORDER BY trim(text)) AS lines, count(*) AS n FROM lang_sample WHERE trim(text) != '' GROUP BY language")
+def end_marks(spark, sf):
+    """Lines joined with end marks, as for an external tokeniser, and parted again."""
+    marked = table(spark, sf, "lang_sample").filter("trim(text) != ''").select("language", T.end_marked(F.trim("text")).alias("x"))
+    joined = marked.groupBy("language").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    parts = joined.select("language", T.at_end_marks(F.col("x")).alias("p"))
+    return parts.select("language", F.array_join(F.array_sort("p"), "\n").alias("lines"), F.size("p").cast("long").alias("n"))
+
+
+@query("""SELECT vec_id, i - 1 AS place, round(CASE WHEN x >= 6 THEN 1 WHEN x <= -6 THEN 0 ELSE 1 / (1 + exp(-((floor((x + 6) * (1000 / 6.0 / 2)) / 1000) * 2 - 1) * 6)) END, 6) AS y
+FROM (SELECT vec_id, i, 20 * embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i))""")
+def sigmoid_table(spark, sf):
+    each = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "x"))
+    return each.select("vec_id", F.col("place").cast("long").alias("place"), F.round(T.sigmoid(F.col("x").cast("double") * 20), 6).alias("y"))
+
+
+@query(f"""WITH v AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({TRG}) AS word FROM corpus_pair) GROUP BY word), {VECTORS.removeprefix('WITH ')}
+SELECT word, round(vec[1], 6) AS first FROM wordvec WHERE word IN (SELECT word FROM v WHERE cnt >= 20)""")
+def selected_words(spark, sf):
+    wanted = corpus.vocabulary(F.col("trg_text"), _corpus(spark, sf)).filter("cnt >= 20")
+    return embeddings.of_words(_wordvec(spark, sf), wanted).select("word", F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query()
+def huffman_codes(spark, sf):
+    return embeddings.huffman_codes(corpus.vocabulary(F.col("trg_text"), _corpus(spark, sf)))
+
+
+@query()
+def page_cleaned(spark, sf):
+    return warc.cleaned_pages(warc.latest(table(spark, sf, "warc_record")))
+
+
+@query()
+def page_links(spark, sf):
+    return warc.crawl_links(warc.pages(warc.latest(table(spark, sf, "warc_record"))))

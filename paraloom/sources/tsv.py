@@ -41,6 +41,13 @@ def read_spaced(spark: SparkSession, path: str, names: list[str], kinds: list[st
     return rows.select(*[f[i].cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))])
 
 
+def analogies(spark: SparkSession, path: str) -> DataFrame:
+    """``(category, a, b, c, d)``; the category is the name of the file."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).select(name.alias("category"), f.alias("f")).filter(F.size("f") == 4).select("category", *[F.col("f")[i].alias(x) for i, x in enumerate("abcd")])
+
+
 def params(spark: SparkSession, path: str) -> DataFrame:
     return read_spaced(spark, path, ["w1", "w2", "p"], ["string", "string", "double"])
 

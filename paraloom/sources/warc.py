@@ -10,6 +10,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -269,18 +270,73 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for i, (content, charset, uri) in enumerate(zip(*(part.column(c).to_pylist() for c in ("content", "charset", "target_uri")), strict=True)):
                 body = (content or b"").partition(b"\r\n\r\n")[2]
-                text, enc = best_decode(body, charset)
-                page = parse(text, uri)
-                out.append((i, enc, page.paragraphs, page.texts, page.links))
+                try:
+                    text, enc = best_decode(body, charset)
+                    page = parse(text, uri)
+                    out.append((i, enc, page.paragraphs, page.texts, page.links))
+                except (ValueError, AssertionError, RecursionError):
+                    out.append((i, None, [], [], []))  # a page that can't be parsed is told by its missing encoding
             if out:
                 _, enc, ps, ts, ls = zip(*out, strict=True)
                 lists = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("record_id"), part.column("host"), part.column("target_uri"), pa.array(enc), pa.array(ps, lists), pa.array(ts, lists), pa.array(ls, lists)],
+                    [part.column("record_id"), part.column("host"), part.column("target_uri"), pa.array(enc, pa.string()), pa.array(ps, lists), pa.array(ts, lists), pa.array(ls, lists)],
                     ["record_id", "host", "target_uri", "encoding", "paragraphs", "texts", "links"],
                 )
 
 
+#: Elements and attributes that cleaning keeps; fixed values.
+KEPT_ELEMENTS = frozenset(
+    "a b blockquote br caption cite code col colgroup dd div dl dt em h1 h2 h3 h4 h5 h6 i img li ol p pre q small span strike strong sub sup table tbody td tfoot th thead tr u ul".split()
+)
+KEPT_ATTRIBUTES = frozenset("href title cite span width start type align alt height src summary abbr axis colspan rowspan scope".split())
+
+
+class _Clean(HTMLParser):
+    """The page's body with kept elements alone; the text of dropped ones stays, but for scripts and styles."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _Page.HIDDEN:
+            self.hidden += 1
+        elif tag in KEPT_ELEMENTS and not self.hidden:
+            kept = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs if k in KEPT_ATTRIBUTES and not (k in ("href", "src") and (v or "").strip().lower().startswith(("javascript:", "data:"))))
+            self.out.append(f"<{tag}{kept}>")
+
+    def handle_endtag(self, tag):
+        if tag in _Page.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in KEPT_ELEMENTS - {"br", "img", "col"} and not self.hidden:
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(escape(data, quote=False))
+
+
+def clean_html(html: str) -> str:
+    page = _Clean()
+    page.feed(html)
+    page.close()
+    return "".join(page.out)
+
+
+def cleaned_pages(rows: DataFrame) -> DataFrame:
+    """``(record_id, html)`` of the responses with harmless elements and attributes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                out = [clean_html(best_decode((c or b"").partition(b"\r\n\r\n")[2], x)[0]) for c, x in zip(part.column("content").to_pylist(), part.column("charset").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(out, pa.string())], ["record_id", "html"])
+
+    return responses(rows).select("record_id", "charset", "content").mapInArrow(run, "record_id long, html string")
+
+
 def pages(rows: DataFrame) -> DataFrame:
     """``(record_id, host, target_uri, encoding, paragraphs, texts, links)`` of the responses."""
     return responses(rows).select("record_id", "host", "target_uri", "charset", "content").mapInArrow(

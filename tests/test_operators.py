@@ -406,3 +406,61 @@ def test_running_sums(spark):
     got = {r.k: r.upto_v for r in rows.running_sums(frame(spark, list(per.items()), "k long, v long"), [F.col("k")], ["v"]).collect()}
     assert got == {k: sum(v for x, v in per.items() if x <= k) for k in per}
     assert rows.running_sums(frame(spark, [], "k long, v long"), [F.col("k")], ["v"]).count() == 0
+
+
+def test_huffman_is_optimal_and_prefix_free():
+    import heapq
+
+    rng = random.Random(2)
+    for size in (0, 1, 2, 3, 40):
+        counts = {f"w{i}": rng.randrange(1, 60) for i in range(size)}
+        codes = embeddings.huffman(counts)
+        assert codes.keys() == counts.keys() and not any(a != b and codes[b].startswith(codes[a]) for a in codes for b in codes)
+        heap, best = list(counts.values()), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            n = heapq.heappop(heap) + heapq.heappop(heap)
+            best += n
+            heapq.heappush(heap, n)
+        assert sum(len(codes[w]) * n for w, n in counts.items()) == (best if size > 1 else size and counts["w0"])
+
+
+def test_clean_html():
+    html = '<html><head><title>t</title></head><body onload="x()"><script>var a="</p>";</script><p class="c">a &amp; <b onclick="y">b</b><br><a href="javascript:z" title="q">l</a><a href="/m">m</a><form>f</form></p></body>'
+    assert warc.clean_html(html) == '<p>a &amp; <b>b</b><br><a title="q">l</a><a href="/m">m</a>f</p>'
+
+
+def test_run_lengths_across_blocks(spark):
+    rng = random.Random(9)
+    values = [rng.choice(["a", "a", "b", None]) for _ in range(60)]
+    want, at = [], 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] != values[at]:
+            want.append((at, i - at, values[at]))
+            at = i
+    df = frame(spark, list(enumerate(values)), "row_no long, v string")
+    for block in (4, 7, 1000):
+        assert sorted(tuple(r) for r in rows.run_lengths(df, "v", block).collect()) == want
+    assert rows.run_lengths(df.filter("false"), "v").count() == 0
+
+
+def test_analogy_files_and_saved_models(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "capital-world.txt").write_text("athens greece  oslo norway\nbroken line\n")
+    assert [tuple(r) for r in tsv.analogies(spark, str(tmp_path / "a")).collect()] == [("capital-world", "athens", "greece", "oslo", "norway")]
+    data = frame(spark, [("b", i, i, float(i % 2), 0.5, float(i % 2), 0.1, float(i % 2)) for i in range(20)], "bin string, src_doc_id long, trg_doc_id long, " + ", ".join(f"{f} double" for f in classify.FEATURES) + ", label double")
+    model = classify.fit_tree(data)
+    classify.save(model, str(tmp_path / "m"))
+    classify.save(model, str(tmp_path / "m"))
+    key = lambda m: sorted((r.src_doc_id, r.score) for r in classify.apply(m, data).collect())
+    assert key(classify.load(str(tmp_path / "m"))) == key(model)
+
+
+def test_random_windows_and_draws(spark):
+    df = frame(spark, [("k%d" % i, [f"w{j}" for j in range(12)]) for i in range(40)], "k string, w array<string>")
+    got = df.select("k", F.explode(links.random_skip_pairs(F.col("w"), 4, F.col("k"))).alias("p")).select(F.abs(F.substring("p.word", 2, 9).cast("int") - F.substring("p.context", 2, 9).cast("int")).alias("d")).groupBy("d").count().collect()
+    n = {r["d"]: r["count"] for r in got}
+    assert sorted(n) == [1, 2, 3, 4] and n[1] > n[2] > n[3] > n[4]
+    assert frame(spark, [("k", [])], "k string, w array<string>").select(links.random_skip_pairs(F.col("w"), 4, F.col("k")).alias("p")).first().p is None
+    x = spark.range(2000).select(T.draw(F.col("id")).alias("x")).agg(F.min("x"), F.max("x"), F.avg("x")).first()
+    assert 0 <= x[0] < 0.01 < 0.99 < x[1] < 1 and abs(x[2] - 0.5) < 0.03

@@ -441,14 +441,14 @@ def _questions(spark, sf):
     """Analogies between neighbours in the vocabulary: words of ranks 4n to 4n + 3, by parity of n in two categories."""
     c = _corpus(spark, sf)
     texts = c.select(F.col("src_text").alias("text")).unionByName(c.select(F.col("trg_text").alias("text")))
-    vocab = corpus.ranked(corpus.vocabulary(F.col("text"), texts)).filter("rank < 400")
+    vocab = corpus.ranked(corpus.vocabulary(F.col("text"), texts))
     n = F.floor(F.col("rank") / 4)
     words = vocab.groupBy(n.alias("n")).agg(*[F.max(F.when(F.col("rank") % 4 == k, F.col("word"))).alias(x) for k, x in enumerate("abcd")])
     return words.select(F.when(F.col("n") % 2 == 0, "family").otherwise("plural").alias("category"), "a", "b", "c", "d")
 
 
 ANALOGY = f"""{VECTORS}, q AS (SELECT CASE WHEN k % 2 = 0 THEN 'family' ELSE 'plural' END AS category, max(word) FILTER (r % 4 = 0) AS a, max(word) FILTER (r % 4 = 1) AS b, max(word) FILTER (r % 4 = 2) AS c, max(word) FILTER (r % 4 = 3) AS d
-  FROM (SELECT word, n - 1 AS r, (n - 1) // 4 AS k FROM vocab WHERE n <= 400) GROUP BY k),
+  FROM (SELECT word, n - 1 AS r, (n - 1) // 4 AS k FROM vocab) GROUP BY k),
 n AS (SELECT word, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS v FROM wordvec),
 asked AS (SELECT q.*, list_transform(range(1, 65), lambda i: b.v[i] - a.v[i] + c.v[i]) AS u FROM q JOIN n a ON a.word = q.a JOIN n b ON b.word = q.b JOIN n c ON c.word = q.c JOIN n d ON d.word = q.d),
 ans AS (SELECT category, a, b, c, d, arg_max(word, (round(list_cosine_similarity(u, v), 9), word)) AS answer FROM asked JOIN n ON word NOT IN (a, b, c) GROUP BY ALL)"""
@@ -583,7 +583,7 @@ def _training(spark, sf):
     """Rescored candidates of supervised bins, their ranks and the features of the best."""
     src, trg, words = _docs(spark, sf, "src"), _docs(spark, sf, "trg"), _wordvec(spark, sf)
     dictionary = cut(_dictionary(spark, sf))
-    found = cut(pipelines.candidates(src, trg, words, words, pipelines.Alignment(k=10)))
+    found = cut(pipelines.candidates(src, trg, words, words, pipelines.Alignment(k=20)))
     return found, src, trg, dictionary
 
 

@@ -323,6 +323,29 @@ def test_clean_text_of_other_languages_is_not_garbled(spark, small):
     assert pairs(encodings.garbled(web(spark, data), spark.read.parquet(f"{small}/lang_sample.parquet")), "row_id") == [(len(clean),)]
 
 
+def test_words_of_all_clean_rows_are_known(spark, small):
+    # a few rows of 12,000 have the words: a sample of a third of them would hardly
+    rows = [(i, "d", "en", "http://d.example/en/", "The residents complain that the new line is too noisy.") for i in range(12_000)]
+    rows += [(12_000 + i, "d", "cs", "http://d.example/cs/", "Příliš žluťoučký kůň úpěl ďábelské ódy.") for i in range(6)]
+    df = web(spark, [*rows, (13_000, "d", None, None, "Pøíli¹ ¾lu»ouèký kùò úpìl ïábelské ódy.")])
+    got = encodings.garbled(df, spark.read.parquet(f"{small}/lang_sample.parquet").filter("false"))
+    assert pairs(got, "row_id", "restored") == [(13_000, "Příliš žluťoučký kůň úpěl ďábelské ódy.")]
+
+
+def test_known_words_are_counted_and_joined_as_by_one_process(spark, small):
+    df, samples = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("cc_token", "lang_sample"))
+    agreeing = df.filter(languages.language_code(F.col("language")).isin(*languages.LANGUAGES) & (languages.language_code(F.col("language")) == languages.address_language(F.col("uri"))) & F.col("text").isNotNull())
+    texts = [r.text for r in samples.filter("text IS NOT NULL").collect()] * 2 + [r.text for r in agreeing.collect()]
+    assert {r.word: r.n for r in encodings.counted_words(df, samples).collect()} == encodings.clean_words(texts)
+    sent, joined = (pairs(encodings.garbled(df, samples, most_broadcast=m), "row_id", "restored", "chain", "lost") for m in (500_000, 0))
+    assert sent == joined and len(sent) > 10
+
+
+def test_garbled_words_of_any_case_are_unknown():
+    words = encodings.clean_words(["Dobrý den městu."] * 200 + ["Dobrý den mŘstu."] * 5)
+    assert "městu." in words and "mřstu." not in words
+
+
 # 8: tokens
 
 

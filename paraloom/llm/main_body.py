@@ -53,10 +53,12 @@ FRAME_PAGES, FRAME_SHARE, BOUND, EDGE, ROUNDS = 8, 0.0005, 0.9, 0.8, 6
 LEAST_TOKENS = 3
 LINE, NUMBER, HOST = range(3)
 TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,:/\xa0 ]*|\n|[^\w\s]|_")
-NO_LETTERS = re.compile(r"[\W_]+")
+#: What isn't a letter or digit: the ASCII bytes, and all else.
+NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalnum())
+NO_LETTERS_BEYOND = re.compile(r"[^\w\x00-\x7f]+")
 PARTS = re.compile(r" ?([|»>•]) ?| (/) ")
 GAPS = re.compile(r"[ \xa0]{2,}|\t")
-MANY = re.compile(r"[|»>•/\t]|[ \xa0]{2}")
+MANY = ("|", "»", ">", "•", "/", "\t", "  ", " \xa0", "\xa0 ", "\xa0\xa0")
 SENTENCE_END = re.compile(r"[.?!…][\"”“»«')\]]*$")
 HIDDEN = "­​⁠﻿"
 MIX = np.uint64(0x100000001B3)
@@ -70,9 +72,17 @@ def shown(text: str) -> str:
     return text
 
 
+def letters(text: str) -> bytes:
+    """The letters and digits of a text in lower case."""
+    text = text.lower()
+    if not text.isascii():
+        text = NO_LETTERS_BEYOND.sub("", text)
+    return text.encode(errors="surrogatepass").translate(None, NO_LETTERS)
+
+
 def form(line: str) -> tuple[str, int] | None:
     """The separator and the number of parts, up to 5, of a line of three or more short parts, none a sentence or a ``name: value`` field."""
-    if not MANY.search(line) or line.lstrip()[:1] in "•*–—-":
+    if not any(x in line for x in MANY) or line.lstrip()[:1] in "•*–—-":
         return None
     cut_ = PARTS.split(line.strip())
     parts, mark = [p for p in cut_[::3] if p.strip()], next((m for m in cut_[1:] if m in ("|", "»", ">", "•", "/")), "")
@@ -172,14 +182,14 @@ def distinct_pages(group: np.ndarray, page: np.ndarray, first: np.ndarray) -> np
 class Block:
     """What a block of pages gives.
 
-    ``framed``: page -> (line numbers, hashes of first and last frames and of forms, 0 without one,
-    whether the line goes by repetition); ``frames``: hash -> (distinct pages, occurrences at its end of a line, all
+    ``framed_lines``: pages, where each one's lines begin, and of all their lines the numbers, hashes of first
+    and last frames and of forms, 0 without one, and whether the line goes by repetition; ``framed`` has them by page; ``frames``: hash -> (distinct pages, occurrences at its end of a line, all
     occurrences); of hosts that may go on in other blocks ``lines`` (page, line number, tokens,
     starts, keys) and ``counts`` host -> (distinct pages, {key: distinct pages}).
     """
 
     def __init__(self, texts: list[str], hosts: list[str], open_hosts: set[str], by_host: bool = True):
-        self.framed: dict[int, tuple[list[int], list[int], list[int], list[int], list[bool]]] = {}
+        self.framed_lines: tuple[np.ndarray, ...] | None = None
         self.frames: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
         self.lines: list[tuple[int, int, int, list[int], list[int]]] = []
         self.counts: dict[str, tuple[int, dict[int, int]]] = {}
@@ -192,10 +202,10 @@ class Block:
         ends = np.repeat(begin + sizes, sizes)
         names: dict[str, int] = {}
         host = np.array([names.setdefault(h, len(names)) for h in hosts])
-        seen: set[tuple[str, str]] = set()
+        seen: set[tuple[str, bytes]] = set()
         first = np.zeros(len(texts), bool)
         for k, (h, t) in enumerate(zip(hosts, texts, strict=True)):
-            key = (h, NO_LETTERS.sub("", t.lower()))
+            key = (h, letters(t))
             first[k] = key not in seen
             seen.add(key)
         self.pages = int(first.sum())
@@ -203,6 +213,14 @@ class Block:
         sure = self._strong(hosts, host, names, first, open_hosts, tokens, page, line, begin, sizes, ends, ranks, hashes) if by_host else np.zeros(len(begin), bool)
         self._frames(texts, tokens, page, line, begin, sizes, ends, first, sure, ranks, hashes)
 
+    @property
+    def framed(self) -> dict[int, tuple[list[int], list[int], list[int], list[int], list[bool]]]:
+        """Page -> (line numbers, hashes of first and last frames and of forms, whether the line goes by repetition)."""
+        if not self.framed_lines:
+            return {}
+        pages, begins, *of_lines = self.framed_lines
+        return {p: tuple(x[a:b].tolist() for x in of_lines) for p, a, b in zip(pages.tolist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True)}
+
     def _frames(self, texts, tokens, page, line, begin, sizes, ends, first, sure, ranks, hashes) -> None:
         """The frames of all lines, and their counts in the block's suffix array."""
         some = np.flatnonzero(sizes > 1)
@@ -238,10 +256,9 @@ class Block:
             here = np.bincount(small, weights=weight[place])
             for column, values in zip(self.frames, (key[one], pages, here.astype(np.int64), everywhere[group[one]].astype(np.int64)), strict=True):
                 column += values.tolist()
-        cuts = np.flatnonzero(np.diff(page[begin[some]])) + 1
-        parts = [np.split(x, cuts) for x in (line[begin[some]], heads, tails, forms, sure[some])]
-        for p, *of_page in zip(page[begin[some]][np.r_[0, cuts]].tolist(), *parts, strict=True):
-            self.framed[p] = tuple(x.tolist() for x in of_page)
+        of_page = page[begin[some]]
+        cuts = np.r_[0, np.flatnonzero(np.diff(of_page)) + 1]
+        self.framed_lines = (of_page[cuts], np.r_[cuts, len(some)], line[begin[some]], heads, tails, forms, sure[some])
 
     def _strong(self, hosts, host, names, first, open_hosts, tokens, page, line, begin, sizes, ends, ranks, hashes) -> np.ndarray:
         """Whether each line repeats word by word on a share of its host's distinct pages; lines and counts of open hosts."""
@@ -270,12 +287,16 @@ class Block:
         covered = (np.cumsum(delta[:-1]) > 0).astype(np.int64)
         good = (sizes >= LEAST_TOKENS) & (np.add.reduceat(covered, begin) >= STRONG_COVER * sizes)
         going_on = is_open[host[page[begin]]]
-        for k in np.flatnonzero(good & going_on).tolist():
-            a, b = np.searchsorted(of_line, (k, k + 1))
-            p = int(page[begin[k]])
-            keys = substring_hashes(tokens, ends, start[a:b], WINDOW, hashes, 3).tolist()
-            self.lines.append((p, int(line[begin[k]]), int(sizes[k]), (start[a:b] - begin[k]).tolist(), keys))
-            self.counts[hosts[p]][1].update(zip(keys, count[a:b].tolist(), strict=True))
+        # all lines' substrings are hashed at once
+        asked = np.flatnonzero(good & going_on)
+        of_asked = (good & going_on)[of_line]
+        start, count, of_line = start[of_asked], count[of_asked], of_line[of_asked]
+        keys = substring_hashes(tokens, ends, start, WINDOW, hashes, 3).tolist()
+        at, count = (start - begin[of_line]).tolist(), count.tolist()
+        parts = zip(page[begin[asked]].tolist(), line[begin[asked]].tolist(), sizes[asked].tolist(), *(np.searchsorted(of_line, asked, side).tolist() for side in ("left", "right")), strict=True)
+        for p, n, size, a, b in parts:
+            self.lines.append((p, n, size, at[a:b], keys[a:b]))
+            self.counts[hosts[p]][1].update(zip(keys[a:b], count[a:b], strict=True))
         return good & ~going_on
 
 
@@ -283,6 +304,7 @@ KINDS = {
     "row_id": pa.int64(), "line_no": pa.int64(), "host": pa.string(), "size": pa.int64(), "starts": pa.list_(pa.int32()), "keys": pa.list_(pa.int64()), "pages": pa.list_(pa.int64()),
     "lines": pa.list_(pa.int32()), "heads": pa.list_(pa.int64()), "tails": pa.list_(pa.int64()), "forms": pa.list_(pa.int64()), "sure": pa.list_(pa.bool_()), "here": pa.list_(pa.int64()), "everywhere": pa.list_(pa.int64()),
 }
+OF_LINES = ("lines", "heads", "tails", "forms", "sure")
 BLOCK_ROWS = (
     "row_id long, line_no long, host string, size long, starts array<int>, keys array<long>, pages array<long>, "
     "lines array<int>, heads array<long>, tails array<long>, forms array<long>, sure array<boolean>, here array<long>, everywhere array<long>"
@@ -298,13 +320,18 @@ def _blocks(by_host: bool):
         hosts: list[str] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             b = Block(texts, hosts, {hosts[0], hosts[-1]}, by_host)
-            out = [{"row_id": rows[p], "lines": a, "heads": h, "tails": t, "forms": f, "sure": s} for p, (a, h, t, f, s) in b.framed.items()]
-            out += [{"row_id": rows[p], "line_no": n, "host": hosts[p], "size": tokens, "starts": starts, "keys": keys} for p, n, tokens, starts, keys in b.lines]
+            if b.framed_lines:
+                pages, begins, *of_lines = b.framed_lines
+                begins = pa.array(begins, pa.int32())
+                columns = {c: pa.ListArray.from_arrays(begins, pa.array(x, KINDS[c].value_type)) for c, x in zip(OF_LINES, of_lines, strict=True)}
+                columns["row_id"] = pa.array([rows[p] for p in pages.tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(pages), k) for c, k in KINDS.items()], list(KINDS))
+            out = [{"row_id": rows[p], "line_no": n, "host": hosts[p], "size": tokens, "starts": starts, "keys": keys} for p, n, tokens, starts, keys in b.lines]
             out += [{"host": h, "size": n, "keys": list(c), "pages": list(c.values())} for h, (n, c) in b.counts.items()]
             out.append({"size": b.pages} | dict(zip(("keys", "pages", "here", "everywhere"), b.frames, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in KINDS.items()], list(KINDS))
+            yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in KINDS.items()], list(KINDS))
 
         for b in batches:
             for row, text, host in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "host")), strict=True):
@@ -313,10 +340,10 @@ def _blocks(by_host: bool):
                 hosts.append(host)
                 size += len(text)
                 if len(rows) == BLOCK or size > BLOCK_CHARS:
-                    yield flush()
+                    yield from flush()
                     rows, texts, hosts, size = [], [], [], 0
         if rows:
-            yield flush()
+            yield from flush()
 
     return run
 

@@ -182,6 +182,26 @@ def test_furniture_goes_by_repetition_on_the_host(spark):
     assert sorted((data[p][0], n) for p, x in b.framed.items() for n, sure in zip(x[0], x[4], strict=True) if sure) == sorted((i, n) for i in range(60) for n in (0, 3)) and not b.lines
 
 
+def test_lines_of_open_hosts_are_hashed_at_once(monkeypatch):
+    calls, real = [], main_body.substring_hashes
+    monkeypatch.setattr(main_body, "substring_hashes", lambda *x: calls.append(1) or real(*x))
+    texts = [f"all of the pages here begin with the same words\npage {chr(97 + i % 26)}{chr(97 + i // 26)} says one thing\nand here the page ends as they all do at last" for i in range(60)]
+    b = main_body.Block(texts, ["d.example"] * 60, {"d.example"})
+    assert len(calls) == 3
+    common = [x for x in b.lines if x[1] != 1]
+    assert [(p, n) for p, n, *_ in common] == [(i, n) for i in range(60) for n in (0, 2)]
+    for _, n, size, starts, keys in common:
+        assert starts == list(range(size - 7)) and keys == common[n // 2][4]
+    pages, counts = b.counts["d.example"]
+    assert pages == 60 and set(counts) == {k for x in b.lines for k in x[4]} and all(counts[k] == 60 for x in common for k in x[4])
+
+
+@given(st.lists(st.text("aB1_ \xa0\xad–Éß.İ\n²", max_size=12), max_size=6))
+def test_letters_part_pages_as_one_expression_does(texts):
+    brute = [re.sub(r"[\W_]+", "", t.lower()) for t in texts]
+    assert [main_body.letters(t).decode() for t in texts] == brute
+
+
 # 4: languages
 
 

@@ -2,8 +2,10 @@ import gzip
 import io
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +202,33 @@ def test_bilingual_vectors_bring_translations_together(spark):
     assert right > wrong + 0.2
 
 
+def _texts(spark, n, parts):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(7)))
+    return frame(spark, [(line(), line()) for _ in range(n)], "src_text string, trg_text string").repartition(parts)
+
+
+def test_bilingual_pairs_made_by_workers_are_the_training_pairs(spark):
+    corpus = _texts(spark, 60, 1)
+    words = [f"w{k}" for k in range(28)]
+    ids = {f"{side}:{w}": k + at for side, at in (("s", 0), ("t", 28)) for k, w in enumerate(words)}
+    for window in (1, 3):
+        want = [(r.word, r.context) for r in embeddings.training_pairs(corpus, window).collect()]
+        b = corpus.select(T.tokens(F.col("src_text")).alias("s"), T.tokens(F.col("trg_text")).alias("t")).toArrow().to_batches()[0]
+        i, j = embeddings.pair_ids(b, pa.array(words), np.arange(28), pa.array(words), np.arange(28, 56), window)
+        assert list(zip(i, j, strict=True)) == [(ids[x], ids[y]) for x, y in want if x in ids and y in ids]
+        counted = [(w, n) for r in embeddings._pair_counts(window)(iter([b])) for w, n in zip(*r.to_pydict().values(), strict=True)]
+        assert {w: n for w, n in counted if n} == Counter(x for x, _ in want)
+
+
+def test_bilingual_vectors_train_in_all_tasks_at_once(spark):
+    # trained partition after partition, a round has a job of its own for each of them
+    spark.sparkContext.setJobGroup("bilingual", "")
+    embeddings.bilingual(_texts(spark, 200, 24), 4, 1, 1)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bilingual")) < 24
+    assert embeddings.token_lists(_texts(spark, 400, 1), 100).rdd.getNumPartitions() == 4
+
+
 def test_kmeans(spark):
     pts = frame(spark, [(i, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for i in range(10)], "id long, vec array<double>")
     got = {r.id: r.cluster for r in clusters.spherical_kmeans(pts, 2, 2, 5).collect()}

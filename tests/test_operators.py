@@ -65,6 +65,55 @@ def test_ibm1_prefers_cooccurring(spark):
         assert sum(v for (s, _), v in p.items() if s == word) == pytest.approx(1, abs=1e-3)
 
 
+def _ibm1_by_hand(pairs, rounds, prune):
+    p = {}
+    for k in range(rounds):
+        counts = Counter()
+        for s, t in pairs:
+            for y in set(t.split()):
+                w = {x: p.get((x, y), 0.0) if k else 1.0 for x in {"<null>", *s.split()}}
+                for x in w:
+                    counts[x, y] += w[x] / sum(w.values()) if sum(w.values()) else 0
+        totals = Counter()
+        for (x, _), c in counts.items():
+            totals[x] += c
+        p = {(x, y): c / totals[x] for (x, y), c in counts.items() if c and c / totals[x] >= prune}
+    return p
+
+
+@pytest.mark.parametrize("rounds, prune", [(1, 0.0), (4, 1e-7), (4, 0.05)])
+def test_ibm1_over_buckets(spark, rounds, prune):
+    rng = random.Random(3)
+    line = lambda c, n: " ".join(f"{c}{rng.randrange(12)}" for _ in range(rng.randrange(n)))
+    pairs = [(line("a", 8), line("b", 7)) for _ in range(120)]
+    pairs += pairs[:30]
+    got = corpus.ibm1(frame(spark, [*pairs, (None, "b1"), ("a1", None)], "src_text string, trg_text string"), rounds, prune, per_bucket=100)
+    assert {(r.src_word, r.trg_word): r.p for r in got.collect()} == pytest.approx(_ibm1_by_hand(pairs, rounds, prune))
+    assert corpus.ibm1(frame(spark, pairs[:0], "src_text string, trg_text string"), rounds, prune).count() == 0
+
+
+def _shuffled(spark, f):
+    """Rows that the stages of ``f`` write to shuffles."""
+    sc = spark.sparkContext
+
+    def upto():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = upto()
+    f()
+    return sum(n for k, n in upto().items() if k not in before)
+
+
+def test_ibm1_rounds_shuffle_no_links(spark):
+    words = [f"a{k}" for k in range(30)]
+    pairs = frame(spark, [(" ".join(words[k:] + words[:k]), " ".join(words[:k + 1])) for k in range(30)], "src_text string, trg_text string")
+    one, three = (_shuffled(spark, lambda n=n: corpus.ibm1(pairs, n).count()) for n in (1, 3))
+    # 30 units hold 14,415 links; a round sums 31 totals of a bucket
+    assert three - one < 14_415
+
+
 def test_doc_vectors(spark):
     docs = frame(spark, [("x", 0, "a a b"), ("x", 1, "b"), ("x", 2, "b"), ("x", 3, "zzz"), ("x", 4, None)], "bin string, doc_id long, text string")
     wv = frame(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vec array<double>")

@@ -26,13 +26,18 @@ def tfidf(docs: DataFrame) -> DataFrame:
     )
 
 
-def doc_vectors(docs: DataFrame, wordvec: DataFrame, dims: int) -> DataFrame:
+def doc_vectors(docs: DataFrame, wordvec: DataFrame, dims: int, most_broadcast: int = 100_000) -> DataFrame:
     """``(bin, doc_id, vec)``: the sum of tf * idf * word vector; a document without a known word gives no row.
 
-    One sum per dimension lets the aggregation combine on the map side, and no word list of a
-    document is ever gathered.
+    Weights are shuffled to their documents before they meet at most ``most_broadcast`` word
+    vectors, counted first, so no vector is shuffled.  Beyond that the vectors meet in a shuffled
+    join, and one sum per dimension combines on the map side.  No word list of a document is gathered.
     """
-    weighted = tfidf(docs).join(wordvec, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    weights = tfidf(docs)
+    if wordvec.limit(most_broadcast + 1).count() <= most_broadcast:
+        weighted = weights.select("bin", "doc_id", "word", (F.col("tf") * F.col("idf")).alias("w")).repartition("bin", "doc_id").join(F.broadcast(wordvec), "word")
+    else:
+        weighted = weights.join(wordvec, "word").withColumn("w", F.col("tf") * F.col("idf"))
     sums = weighted.groupBy("bin", "doc_id").agg(*[F.sum(F.col("w") * F.get("vec", F.lit(i))).alias(f"d{i}") for i in range(dims)])
     return sums.select("bin", "doc_id", F.array(*[F.col(f"d{i}") for i in range(dims)]).alias("vec"))
 

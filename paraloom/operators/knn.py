@@ -39,17 +39,28 @@ def _side(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.field("doc_id").to_numpy(zero_copy_only=False), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def _block(k: int, kind: pa.DataType):
+def _codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """Of each band the codes of all rows, the signs of ``bits`` projections."""
+    codes = (x @ planes >= 0).reshape(len(x), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return np.ascontiguousarray(codes.T.astype(np.min_scalar_type((1 << bits) - 1)))
+
+
+def _block(k: int, kind: pa.DataType, planes: np.ndarray | None = None, bits: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 src, x = _side(b.column("s"), i)
                 trg, y = _side(b.column("t"), i)
                 sims = x @ y.T
+                if planes is not None:
+                    shared = np.zeros(sims.shape, dtype=bool)
+                    for one, other in zip(_codes(x, planes, bits), _codes(y, planes, bits), strict=True):
+                        shared |= one[:, None] == other
+                    sims[~shared] = -np.inf
                 n = min(k, len(trg))
                 # the block's top k of each row, with those that tie up to rounding
                 cutoff = -np.partition(-sims, n - 1, axis=1)[:, n - 1] - 1e-8
-                r, c = np.nonzero(sims >= cutoff[:, None])
+                r, c = np.nonzero((sims >= cutoff[:, None]) & (sims > -np.inf))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.column("bin")[i].as_py()] * len(r), pa.string()), pa.array(src[r], kind), pa.array(trg[c], kind), pa.array(sims[r, c])],
                     ["bin", "src_doc_id", "trg_doc_id", "cosine"],
@@ -58,13 +69,14 @@ def _block(k: int, kind: pa.DataType):
     return run
 
 
-def block_pairs(src: DataFrame, trg: DataFrame, k: int, block: int) -> DataFrame:
+def block_pairs(src: DataFrame, trg: DataFrame, k: int, block: int, planes: np.ndarray | None = None, bits: int = 0) -> DataFrame:
     """``(bin, src_doc_id, trg_doc_id, cosine)``: of each source row the top ``k``, and what ties with them, of each block of its bin's targets.
 
     Rows of a bin are dealt to blocks of about ``block`` rows a side by hash, the number of blocks
     following the bin's size.  A block is copied once for each block of the other side and meets
     it in a join on (bin, source block, target block), so the pairs of blocks of a large bin are
-    spread over all tasks and a task holds two blocks at a time.
+    spread over all tasks and a task holds two blocks at a time.  With ``planes`` only rows that
+    share the code of a band of ``bits`` planes are taken.
     """
     sizes = lambda df, name: df.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     blocks = cut(sizes(src, "s_blocks").join(sizes(trg, "t_blocks"), "bin"))
@@ -76,7 +88,7 @@ def block_pairs(src: DataFrame, trg: DataFrame, k: int, block: int) -> DataFrame
 
     met = dealt(src, "s", "t", "s").join(dealt(trg, "t", "s", "t"), ["bin", "s_block", "t_block"]).select("bin", "s", "t")
     text = dict(src.dtypes)["doc_id"] == "string"
-    return met.mapInArrow(_block(k, pa.string() if text else pa.int64()), PAIRS.replace("_id long", "_id string") if text else PAIRS)
+    return met.mapInArrow(_block(k, pa.string() if text else pa.int64(), planes, bits), PAIRS.replace("_id long", "_id string") if text else PAIRS)
 
 
 def blocked(src: DataFrame, trg: DataFrame, k: int = 10, block: int = 1_000) -> DataFrame:
@@ -111,30 +123,36 @@ def fit_bits(src: DataFrame, trg: DataFrame, k: int, bands: int, recall: float,
 
 def _coded(planes: np.ndarray, bits: int):
     """Of each row its band codes: the band's number and the signs of ``bits`` projections."""
-    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            signs = (x @ planes >= 0).reshape(b.num_rows, -1, bits)
-            codes = (signs @ weights) + (np.arange(signs.shape[1], dtype=np.int64) << bits)
+            codes = _codes(x, planes, bits).T.astype(np.int64)
+            codes += np.arange(codes.shape[1], dtype=np.int64) << bits
             yield pa.RecordBatch.from_arrays([b.column("bin"), b.column("doc_id"), pa.array(list(codes), pa.list_(pa.int64()))], ["bin", "doc_id", "codes"])
 
     return run
 
 
-def hashed(src: DataFrame, trg: DataFrame, k: int = 10, dims: int = 64, bands: int = 32, recall: float = 0.97, most: int = 5_000, bits: int | None = None, seed: int = 1) -> DataFrame:
+def hashed(src: DataFrame, trg: DataFrame, k: int = 10, dims: int = 64, bands: int = 32, recall: float = 0.97, most: int = 5_000, bits: int | None = None, seed: int = 1, block: int = 1_000) -> DataFrame:
     """Approximate: rows that share a band of random-hyperplane bits are compared exactly.
 
     Every row of both sides is indexed.  The bits a band are fitted for the wanted recall on a
     bounded sample, about ``most`` rows a side, unless given: the nearer the nearest rows are, the
-    more bits and the fewer comparisons.
+    more bits and the fewer comparisons.  Where chance alone would put more rows of pairs into a
+    join on the codes than values into copies of blocks, codes are compared block by block
+    instead, and no pair is stored; the result is the same.
     """
     src, trg = cut(src.select("bin", "doc_id", "vec")), cut(trg.select("bin", "doc_id", "vec"))
     bits = bits or fit_bits(src, trg, k, bands, recall, most)
     planes = np.random.default_rng(seed).standard_normal((dims, bands * bits))
+    sizes = src.groupBy("bin").agg(F.count(F.lit(1)).cast("double").alias("n")).join(trg.groupBy("bin").agg(F.count(F.lit(1)).cast("double").alias("m")), "bin")
+    pairs, copies = sizes.agg(F.sum(F.col("n") * F.col("m")), F.sum(F.col("n") * F.ceil(F.col("m") / block) + F.col("m") * F.ceil(F.col("n") / block))).first()
+    # a pair of ids takes about the room of five values
+    if (pairs or 0) * bands / 2**bits * 5 > (copies or 0) * dims:
+        return _top(block_pairs(src, trg, k, block, planes, bits), k)
 
     def banded(df: DataFrame, name: str) -> DataFrame:
         return df.mapInArrow(_coded(planes, bits), "bin string, doc_id long, codes array<long>").select("bin", F.col("doc_id").alias(name), F.explode("codes").alias("code"))

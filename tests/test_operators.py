@@ -153,6 +153,25 @@ def test_hashed_recall_on_independent_sides(spark, spread):
     assert len(pairs(knn.hashed(s, t, 10)) & exact) >= 0.9 * len(exact)
 
 
+def test_hashed_by_blocks_stores_no_pairs_and_equals_the_join(spark):
+    rng = np.random.default_rng(7)
+    rows = lambda n: frame(spark, [("b%d" % (i % 2), i, rng.standard_normal(16).tolist()) for i in range(n)], "bin string, doc_id long, vec array<double>")
+    s, t = rows(300), rows(240)
+    got = lambda **x: {(r.bin, r.src_doc_id, r.trg_doc_id, r.knn_rank): round(r.score, 9) for r in knn.hashed(s, t, 5, dims=16, bits=5, bands=8, **x).collect()}
+    # blocks of one row make their copies dearer than the join
+    joined, blocks = got(block=1), got(block=60)
+    assert joined == blocks and joined != {(r.bin, r.src_doc_id, r.trg_doc_id, r.knn_rank): round(r.score, 9) for r in knn.exact(s, t, 5).collect()}
+    # 36,000 pairs of rows, each of which 8 bands of 3 bits make one of by chance
+    assert _shuffled(spark, lambda: knn.hashed(s, t, 5, dims=16, bits=3, bands=8).count()) < 36_000
+
+
+def test_doc_vectors_shuffle_no_word_vectors(spark):
+    docs = frame(spark, [("b", i, f"w{i} w{i % 7} x{i % 5}") for i in range(60)], "bin string, doc_id long, text string")
+    wv = frame(spark, [(f"{c}{i}", [float(i + 1), -1.0]) for i in range(60) for c in "wx"], "word string, vec array<double>")
+    got = [{r.doc_id: [round(x, 9) for x in r.vec] for r in docvec.doc_vectors(docs, wv, 2, most_broadcast=n).collect()} for n in (0, 1_000)]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
 def test_length(spark):
     one = spark.range(1).select(T.length_likelihood(F.lit(100), F.lit(108), 1.08, 0.28).alias("a"), T.length_confidence(F.lit(100)).alias("b"), T.length_likelihood(F.lit(0), F.lit(1), 1.0, 0.5).alias("c")).first()
     assert one.a == pytest.approx(1) and one.b == pytest.approx(0.6321206) and one.c is None
